@@ -14,5 +14,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {
+    "op8_token_counts": op8_token_counts,
+    "op9_token_files": op9_token_files,
+}
 ORACLES: dict[str, str] = {}

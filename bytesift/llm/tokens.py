@@ -14,7 +14,7 @@ from array import array
 from functools import lru_cache
 
 #: White space outside ASCII's common four, or what one of the libraries may take for it.
-RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 BYTE_UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 WORD_UNIT = re.compile(r"[^ \t\r\n]+")
 #: Longer units are encoded each time, so a cache's size is bounded.
