@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from bytesift.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.token_counts import count_tokens
 
@@ -21,6 +27,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
