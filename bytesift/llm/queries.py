@@ -13,6 +13,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.token_counts import count_tokens
 
@@ -28,6 +34,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_simhash_bktree": op3_simhash_bktree,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
