@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytesift.llm.common import table
+from bytesift.llm.common import crc_bucket_col, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.toxicity import fit, score_toxicity, training_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(*training_texts(docs, table(spark, sf_dir, "labels")))
+    held = (crc_bucket_col("doc_id", 3) == 1).alias("held_out")
+    return score_toxicity(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.token_counts import count_tokens
 
@@ -35,6 +44,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash_bktree": op3_simhash_bktree,
+    "op7_toxicity_compression": op7_toxicity_compression,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }

@@ -60,7 +60,7 @@ def frequent_units(docs: DataFrame, text: str, keep: int, per_task: int = 4096)
         out = out.withColumn("g", F.spark_partition_id() % F.lit(groups)).groupBy("g").applyInPandas(merge, schema)
         parts = groups
     counts: Counter = Counter()
-    for row in out.toLocalIterator():
+    for row in out.collect():  # at most FAN_IN rows
         counts.update(dict(zip(row["units"], row["counts"], strict=True)))
     return [u for u, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:keep]]
 
