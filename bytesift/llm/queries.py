@@ -19,6 +19,15 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.language import predict, train, training_rows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = train(*training_rows(docs))
+    held = (crc_bucket_col("doc_id", 3) == 1).alias("held_out")
+    return predict(docs.select("doc_id", "text"), net).select("doc_id", held, "lang_pred", "score")
+
+
 def op7_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.toxicity import fit, score_toxicity, training_texts
 
@@ -44,6 +53,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash_bktree": op3_simhash_bktree,
+    "op4_language_gru": op4_language_gru,
     "op7_toxicity_compression": op7_toxicity_compression,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
