@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", l
     """
     path = path or byte_path()
     frequent = frequent_units(docs, text, table_size)
-    lengths = [len(e.ids) for e in load(path).encode_batch(frequent, add_special_tokens=False)] if frequent else []
+    lengths = [len(e.ids) for e in load(path).encode_batch_fast(frequent, add_special_tokens=False)] if frequent else []
     first = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent, lengths, strict=True)))
 
     @F.pandas_udf("n_bytes long, n_tokens long")
@@ -100,7 +100,8 @@ _caches: dict = {}
 
 def _cache(path: str, first) -> UnitCache:
     """This worker's cache; the units it has met stay from task to task."""
-    if path not in _caches:
-        _caches[path] = UnitCache(path, len)
-    _caches[path].first = first.value
-    return _caches[path]
+    key = (path, hash(frozenset(first.value.items())))
+    if key not in _caches:
+        _caches.clear()
+        _caches[key] = UnitCache(path, len, False, first.value)
+    return _caches[key]
