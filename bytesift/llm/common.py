@@ -13,10 +13,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z only, as bytes and as str.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -28,6 +28,12 @@ def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), net).select("doc_id", held, "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.decontamination import leak_rows
+
+    return leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.toxicity import fit, score_toxicity, training_texts
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_language_gru": op4_language_gru,
+    "op5_decontamination": op5_decontamination,
     "op7_toxicity_compression": op7_toxicity_compression,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import ASCII_LOWER, connected_components, local_components, materialise, partitions, text_slices
+from bytesift.llm.common import connected_components, local_components, materialise, partitions
 
 RADIUS = 4
 #: Frontier entries that a task compares at once.
@@ -27,7 +27,7 @@ FRONTIER = 4_000_000
 
 def shingle_texts(text: str, size: int) -> list[bytes]:
     """``size``-word shingles, space-joined; fewer words: the whole sequence; none: no shingle."""
-    words = text.translate(ASCII_LOWER).encode().split()
+    words = text.encode().lower().split()  # of bytes: A-Z, and ASCII white space
     if len(words) <= size:
         return [b" ".join(words)] if words else []
     joined = b" ".join(words)
@@ -101,8 +101,8 @@ def tree_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     key, kid = key[order], kid[order]
     found_i, found_j = [], []
     for begin in range(0, n, max(1, FRONTIER // 64)):
-        stack = [(np.arange(begin, min(n, begin + max(1, FRONTIER // 64))), None)]
-        stack = [(stack[0][0], root[stack[0][0]])]
+        entries = np.arange(begin, min(n, begin + max(1, FRONTIER // 64)))
+        stack = [(entries, root[entries])]
         while stack:
             x, node = stack.pop()
             if len(x) > FRONTIER:
