@@ -34,6 +34,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.toxicity import fit, score_toxicity, training_texts
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_language_gru": op4_language_gru,
     "op5_decontamination": op5_decontamination,
+    "op6_embedding_passes": op6_embedding_passes,
     "op7_toxicity_compression": op7_toxicity_compression,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
