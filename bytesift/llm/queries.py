@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bytesift.llm import licenses
 from bytesift.llm.common import crc_bucket_col, table
 
 
@@ -13,6 +14,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytesift.llm.simhash import near_duplicates
 
@@ -64,6 +71,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_license_join": op2_license_join,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_language_gru": op4_language_gru,
     "op5_decontamination": op5_decontamination,
@@ -72,4 +80,4 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_join": licenses.ORACLE}
