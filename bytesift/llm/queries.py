@@ -69,6 +69,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytesift.llm.katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket_col("doc_id", 7) != 2)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_join": op2_license_join,
@@ -79,5 +85,6 @@ QUERIES = {
     "op7_toxicity_compression": op7_toxicity_compression,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
+    "op10_katz_backoff": op10_katz_backoff,
 }
 ORACLES: dict[str, str] = {"op2_license_join": licenses.ORACLE}
