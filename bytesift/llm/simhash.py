@@ -193,3 +193,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, s
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS, size: int = 4) -> DataFrame:
+    """(row) of one row for each group of ``docs(row, doc_id, text)``: the smallest doc_id, then the smallest row.
+
+    Null doc_ids come last. ``row`` is unique. An empty table: an empty result.
+    """
+    marked = materialise(fingerprints(docs.select("row", "doc_id", "text"), "text", size), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first")
+    distinct = materialise(marked.groupBy("fp").agg(first), "distinct")
+    groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    grouped = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))
+    return grouped.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
