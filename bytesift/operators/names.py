@@ -44,8 +44,8 @@ def resolve_paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
 def unique_names(df: DataFrame, path: str, order: list[str], out: str = "unique_path") -> DataFrame:
     """The first row of a path keeps it, the i-th after it gets ``__i`` before the extension."""
     at = F.row_number().over(Window.partitionBy(path).orderBy(*order)) - 1
-    root = F.regexp_extract(path, r"^(.*[^/.][^/]*?)(\.[^./]*)?$", 1)
-    extension = F.regexp_extract(path, r"^(.*[^/.][^/]*?)(\.[^./]*)?$", 2)
+    extension = F.regexp_extract(path, r"[^/.](\.[^./]*)$", 1)
+    root = F.left(F.col(path), F.length(path) - F.length(extension))
     return df.withColumn("_at", at).withColumn(out, F.when(F.col("_at") == 0, F.col(path)).otherwise(F.concat(root, F.lit("__"), F.col("_at").cast("string"), extension))).drop("_at")
 
 

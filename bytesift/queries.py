@@ -70,8 +70,8 @@ def sanitized_paths(spark, sf):
 
 
 @query(r"""
-SELECT c_custkey, CASE WHEN i = 0 THEN p ELSE regexp_extract(p, '^(.*[^/.][^/]*?)(\.[^./]*)?$', 1) || '__' || i || regexp_extract(p, '^(.*[^/.][^/]*?)(\.[^./]*)?$', 2) END AS unique_path
-FROM (SELECT c_custkey, p, row_number() OVER (PARTITION BY p ORDER BY c_custkey) - 1 AS i FROM (SELECT c_custkey, c_mktsegment || '/n' || (c_custkey // 7) || '.txt' AS p FROM customer))""")
+SELECT c_custkey, CASE WHEN i = 0 THEN p ELSE left(p, length(p) - length(x)) || '__' || i || x END AS unique_path
+FROM (SELECT *, regexp_extract(p, '[^/.](\.[^./]*)$', 1) AS x FROM (SELECT c_custkey, p, row_number() OVER (PARTITION BY p ORDER BY c_custkey) - 1 AS i FROM (SELECT c_custkey, c_mktsegment || '/n' || (c_custkey // 7) || '.txt' AS p FROM customer)))""")
 def unique_names(spark, sf):
     """Colliding paths get numbered."""
     rows = table(spark, sf, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("/n"), F.floor(F.col("c_custkey") / 7).cast("string"), F.lit(".txt")).alias("p"))
