@@ -237,5 +237,5 @@ def predict(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
                 lang[i], score[i] = n.langs[k], min(1.0, float(s))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    out = docs.withColumn("_said", of(F.col(text)))
+    out = docs.withColumn("_said", of.asNondeterministic()(F.col(text)))
     return out.withColumns({"lang_pred": F.col("_said.lang_pred"), "score": F.col("_said.score")}).drop("_said")

@@ -210,5 +210,5 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
         z = np.clip(m.weights[0] + np.array(x, dtype=float).reshape(-1, 2) @ np.array(m.weights[1:]), -30, 30)
         return pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "n_windows": n})
 
-    out = docs.withColumn("_scored", of(F.coalesce(F.col(text), F.lit(""))))
+    out = docs.withColumn("_scored", of.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
     return out.withColumns({"score": F.col("_scored.score"), "predicted": (F.col("_scored.score") >= CUT).cast("int"), "n_windows": F.col("_scored.n_windows")}).drop("_scored")
