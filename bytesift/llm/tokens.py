@@ -23,7 +23,7 @@ SPACED = re.compile(r"[^ \t\r\n]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Longer units are encoded each time, so a cache's size is bounded.
 LONGEST_CACHED = 48
-CACHED = 500_000
+CACHED = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -86,6 +86,15 @@ class Encoder:
     def __init__(self, path: str, words: bool):
         self.path, self.words = path, words
         self.other: dict[str, list[int]] = {}
+        self.letters: dict[str, list[int] | None] = {}
+
+    def part(self, unit: str) -> list[int] | None:
+        """As ``latin_word``, remembered: parts of units with punctuation recur."""
+        if unit not in self.letters:
+            if len(self.letters) > 200_000:
+                self.letters = {}
+            self.letters[unit] = self.latin_word(unit)
+        return self.letters[unit]
 
     def latin_word(self, unit: str) -> list[int] | None:
         """Ids of a word of Latin letters (with one space before it, for the byte vocabulary), else None."""
@@ -102,7 +111,7 @@ class Encoder:
         for k, u in enumerate(units):
             out.append(ids := self.latin_word(u))
             if ids is None:
-                rest[k] = [(p, self.latin_word(p)) for p in _parts(u)] if self.words else [(u, None)]
+                rest[k] = [(p, self.part(p)) for p in _parts(u)] if self.words else [(u, None)]
                 new.update(p for p, found in rest[k] if found is None and p not in self.other)
         if new:
             new = list(new)
@@ -124,10 +133,11 @@ class UnitCache:
 
     def __call__(self, lists: list[list[str]]) -> list[list]:
         """For each list of units, the kept values in order."""
-        if len(self.found) > CACHED:
-            self.found = dict(self.first)
+        units = set().union(*lists) if lists else set()
+        if len(self.found) > CACHED:  # what this batch needs stays, usual units above all
+            self.found = self.first | {u: self.found[u] for u in units.intersection(self.found)}
         found, long = self.found, []
-        new = list(set().union(*lists).difference(found)) if lists else []
+        new = list(units.difference(found))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found.update(zip(part, map(self.keep, self.encoder(part)), strict=True))
