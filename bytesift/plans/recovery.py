@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,10 @@ from bytesift.functions import columns as C
 from bytesift.operators import intervals, names, text
 from bytesift.sources import image, sinks
 
-RECORD_CAP, JOURNAL_CAP = 5_000_000, 20_000_000
 BLOCK, BRIDGE = 1 << 20, 8
 RUN_LIMIT = 64 << 20
+#: Bytes of content that a task hands on at once.
+HELD = 32 << 20
 
 
 @dataclass
@@ -97,8 +99,8 @@ def geometry(scan: Scan) -> DataFrame:
     return scan.spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in rows], kinds)
 
 
-def file_records(scan: Scan, record_size: int = 1024, cap: int = RECORD_CAP) -> DataFrame:
-    """Decoded records wherever they lie, the first ``cap`` by offset. The gate runs inside the scan, before a record is decoded."""
+def file_records(scan: Scan, record_size: int = 1024, cap: int | None = None) -> DataFrame:
+    """Decoded records wherever they lie, the first ``cap`` by offset if one is given (a global sort). The gate runs inside the scan, before a record is decoded."""
 
     def decode(batches):
         for pdf in batches:
@@ -113,11 +115,11 @@ def file_records(scan: Scan, record_size: int = 1024, cap: int = RECORD_CAP) ->
                     at = data.find(b"FILE", at + 1)
             out = pd.DataFrame(rows, columns=["image", "off", "in_use", "is_dir", "seq", "names", "real_size", "alloc_size", "resident_data", "data_runs", "created", "modified"])
             for c in ("real_size", "alloc_size"):
-                out[c] = [__import__("decimal").Decimal(v) for v in out[c]]
+                out[c] = [Decimal(v) for v in out[c]]
             yield out
 
     found = scan.chunks(everything=True).mapInPandas(decode, RECORDS)
-    return found.orderBy("image", "off").limit(cap)
+    return found if cap is None else found.orderBy("image", "off").limit(cap)
 
 
 def mft(scan: Scan, record_size: int | None = None, first: int | None = None) -> DataFrame:
@@ -169,8 +171,8 @@ def recover_files(found: DataFrame, folder: str) -> DataFrame:
 # --- change journal ----------------------------------------------------------------------------------
 
 
-def journal(scan: Scan, cap: int = JOURNAL_CAP) -> DataFrame:
-    """Events of the change journal, the first ``cap`` by offset."""
+def journal(scan: Scan, cap: int | None = None) -> DataFrame:
+    """Events of the change journal, the first ``cap`` by offset if one is given."""
 
     def decode(batches):
         for pdf in batches:
@@ -184,10 +186,23 @@ def journal(scan: Scan, cap: int = JOURNAL_CAP) -> DataFrame:
             yield pd.DataFrame(rows, columns=["image", "off", "ticks", "reason", "file_ref", "parent_ref", "attrs", "name"]).astype({"ticks": "uint64"}).assign(ticks=lambda d: d["ticks"].clip(upper=2**63 - 1).astype("int64"))
 
     found = scan.chunks().mapInPandas(decode, "image string, off long, ticks long, reason long, file_ref long, parent_ref long, attrs long, name string")
-    rows = found.orderBy("image", "off").limit(cap)
+    rows = found if cap is None else found.orderBy("image", "off").limit(cap)
     return rows.select("image", "off", C.filetime_iso(F.col("ticks")).alias("timestamp"), C.reason_names(F.col("reason")).alias("reason"), "file_ref", "parent_ref", C.hex_offset(F.col("attrs")).alias("attrs"), "name")
 
 
+def _in_parts(rows, columns: list[str], content: str):
+    """Frames of the rows (an iterator), each with about HELD bytes of content at most, or one row."""
+    at, held, size = columns.index(content), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at] or b"")
+        if size >= HELD:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 # --- carving -----------------------------------------------------------------------------------------
 
 PIECES = "image string, off long, sig_rank int, start long, end long, kind string, ext string, method string, content binary"
@@ -196,15 +211,16 @@ PIECES = "image string, off long, sig_rank int, start long, end long, kind strin
 def _carve(found: DataFrame, carver) -> DataFrame:
     """Run ``carver(read, size, off, sig_rank)`` at every hit; it gives (Found, content) or None."""
 
-    def carve(batches):
+    def rows(batches):
         for pdf in batches:
-            rows = []
             for path, off, rank in zip(pdf["image"], pdf["off"], pdf["sig_rank"], strict=True):
                 held = image.open_image(path)
                 if got := carver(held.read, held.size, int(off), int(rank)):
                     f, content = got
-                    rows.append((path, off, rank, f.start, f.start + f.length, f.kind, f.ext, f.method, content))
-            yield pd.DataFrame(rows, columns=["image", "off", "sig_rank", "start", "end", "kind", "ext", "method", "content"])
+                    yield path, off, rank, f.start, f.start + f.length, f.kind, f.ext, f.method, content
+
+    def carve(batches):
+        return _in_parts(rows(batches), ["image", "off", "sig_rank", "start", "end", "kind", "ext", "method", "content"], "content")
 
     return found.mapInPandas(carve, PIECES)
 
@@ -229,28 +245,30 @@ def zip_archives(scan: Scan) -> tuple[DataFrame, DataFrame]:
 def zip_members(pieces: DataFrame) -> DataFrame:
     """(image, start, name, bytes, good, content) of every member of whole archives or salvaged headers."""
 
-    def open_up(batches):
+    def rows(batches):
         import io
         import zipfile
 
         for pdf in batches:
-            rows = []
             for path, s, e, ext in zip(pdf["image"], pdf["start"], pdf["end"], pdf["ext"], strict=True):
                 held = image.open_image(path)
                 if ext != "zip":
                     f, body, good = carvers.zip_member(held.read, held.size, int(s))
-                    rows.append((path, s, f.method, len(body), good, body))
+                    yield path, s, f.method, len(body), good, body
                     continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(held.read(int(s), int(e - s)))) as z:
                         for info in z.infolist():
                             try:
-                                rows.append((path, s, info.filename, info.file_size, True, z.read(info)))
+                                body = z.read(info)
                             except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, ValueError, EOFError):
                                 continue  # an unreadable member is passed over
+                            yield path, s, info.filename, info.file_size, True, body
                 except zipfile.BadZipFile:
                     continue
-            yield pd.DataFrame(rows, columns=["image", "start", "name", "bytes", "good", "content"])
+
+    def open_up(batches):
+        return _in_parts(rows(batches), ["image", "start", "name", "bytes", "good", "content"], "content")
 
     return pieces.mapInPandas(open_up, "image string, start long, name string, bytes long, good boolean, content binary")
 
@@ -319,15 +337,19 @@ def source(scan: Scan, keep_unknown: bool = True) -> DataFrame:
     """Manifest of source fragments, by their language. A run over 64 MiB is classified in pieces of that length."""
     pieces = printable_extents(scan).withColumn("start", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(RUN_LIMIT).cast("long")))).withColumn("end", F.least("end", F.col("start") + RUN_LIMIT))
 
-    def fetch(batches):
+    def rows(batches):
         for pdf in batches:
-            yield pdf.assign(data=[image.open_image(p).read(int(s), int(e - s)) for p, s, e in zip(pdf["image"], pdf["start"], pdf["end"], strict=True)])
+            for p, s, e in zip(pdf["image"], pdf["start"], pdf["end"], strict=True):
+                yield p, s, e, image.open_image(p).read(int(s), int(e - s))
+
+    def fetch(batches):
+        return _in_parts(rows(batches), ["image", "start", "end", "data"], "data")
 
-    rows = pieces.mapInPandas(fetch, "image string, start long, end long, data binary").withColumn("t", C.latin1(F.col("data")))
-    rows = rows.withColumn("found", text.classified(F.col("t"))).withColumn("language", text.kept_language(F.col("found"), F.length("t"), keep_unknown)).where("language IS NOT NULL")
+    found = pieces.mapInPandas(fetch, "image string, start long, end long, data binary")
+    named = found.withColumn("t", C.latin1(F.col("data"))).withColumn("found", text.classified(F.col("t"))).withColumn("language", text.kept_language(F.col("found"), F.length("t"), keep_unknown)).where("language IS NOT NULL")
     ext = F.coalesce("found.ext", F.lit("txt"))
     path = F.concat("language", F.lit("/"), F.lpad(F.lower(F.hex("start")), 12, "0"), F.lit("."), ext)
-    return rows.select(C.hex_offset(F.col("start")).alias("offset_hex"), (F.col("end") - F.col("start")).alias("length"), "language", F.col("found.score").alias("score"), path.alias("path"), C.preview(F.col("t")).alias("preview"), "image", "start", "end")
+    return named.select(C.hex_offset(F.col("start")).alias("offset_hex"), (F.col("end") - F.col("start")).alias("length"), "language", F.col("found.score").alias("score"), path.alias("path"), C.preview(F.col("t")).alias("preview"), "image", "start", "end")
 
 
 # --- all -------------------------------------------------------------------------------------------------
