@@ -14,7 +14,7 @@ from bytesift.llm import decontamination, language, packing, simhash, toxicity
 from bytesift.llm.common import materialise, table
 
 #: A document whose language is less sure than this is rejected.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.4
 
 
 def _kept(marked: DataFrame, columns: list[str], keep) -> DataFrame:
