@@ -188,7 +188,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 220, b
 
 
 def training_rows(docs: DataFrame, text: str = "text", per_language: int = 250, longest: int = 60_000) -> tuple[list[str], list[str]]:
-    """(texts, languages): of each language at most so many rows, those whose ids hash lowest.
+    """(texts, languages): of each of the 256 most frequent languages at most so many rows, those whose ids hash lowest.
 
     Only rows with a language whose crc32(doc_id as text) mod 3 is not 1; texts over ``longest`` characters
     aren't learned from.
