@@ -69,7 +69,8 @@ def any_of(text: Column, parts: list[str]) -> Column:
 def token_order(docs: DataFrame, text: str, vocabulary: list[str]) -> list[str]:
     """The templates' tokens by the number of documents that hold them, the rarest first: at most the vocabulary reaches the driver."""
     held = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(normalised(F.col(text)), " "))
-    rows = docs.select(F.explode(held).alias("token")).groupBy("token").count().collect()
+    # outer: a plain explode would get a filter on the array's size, which works it out twice
+    rows = docs.select(F.explode_outer(held).alias("token")).where("token IS NOT NULL").groupBy("token").count().collect()
     counts = {r["token"]: r["count"] for r in rows}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
