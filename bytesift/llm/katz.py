@@ -106,17 +106,23 @@ class Batch:
             self.size += len(stream)
 
     def rows(self, batch: int, buckets: int) -> pd.DataFrame:
+        """The batch's table rows; it is used up, as its parts go as soon as they are no longer needed."""
         hashes = np.fromiter((self.hash(w) for w in self.words), np.uint64, len(self.words))
+        self.words.clear()
         stream, lengths, train = np.concatenate(self.streams), np.array(self.lengths), np.array(self.train)
-        learn = np.repeat(train, lengths)
+        self.streams.clear()
         missing = np.array([i is None for i in self.ids])
         ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
         out = [("store", batch, batch, pack(stream, lengths, train, missing, ids, hashes))]
+        learn = np.repeat(train, lengths)
         order = np.argsort(hashes)
         out += _requests("word", batch, hashes[order], np.bincount(stream[learn], minlength=len(hashes))[order], buckets)
         codes, inverse = np.unique(pairs_of(stream, lengths, len(hashes)), return_inverse=True)
+        del stream
         counts = np.bincount(inverse[learn], minlength=len(codes))
+        del inverse, learn
         keys = pair_hash(hashes[codes // len(hashes)], hashes[codes % len(hashes)])
+        del codes
         order = np.argsort(keys)
         out += _requests("pair", batch, keys[order], counts[order], buckets)
         return pd.DataFrame([(*r, None) for r in out], columns=["kind", "key", "batch", "blob", "stats"])
