@@ -115,7 +115,9 @@ class Matcher:
         """Which shingles some item has: a bit table first, then a search among the few left."""
         out = self.gates[size][(shingles >> np.uint64(44)).astype(np.int64)]
         at = np.flatnonzero(out)
-        out[at] = np.isin(shingles[at], self.known[size])
+        known = self.known[size]
+        place = np.minimum(np.searchsorted(known, shingles[at]), len(known) - 1)
+        out[at] = known[place] == shingles[at]
         return out
 
     def leaks(self, h: np.ndarray) -> list[tuple[int, float, int, int]]:
