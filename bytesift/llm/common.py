@@ -68,6 +68,17 @@ def _clean() -> None:
             return
 
 
+_worker: dict = {}
+
+
+def worker_cache(key, make):
+    """What ``make`` gave for ``key`` in this worker. Only the last key's is held, so operators that follow each other don't add up their caches."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

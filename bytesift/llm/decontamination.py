@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytesift.llm.common import worker_cache
+
 SIZE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 20, 8
 #: Items in memory at once; more are taken in further passes.
 ITEMS = 20_000
@@ -153,11 +155,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     out, block = docs.withColumn("leaks", F.array().cast(LEAKS)), []
 
     def scan(out: DataFrame, items: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(items)
+        held, key = spark.sparkContext.broadcast(items), ("items", hash(tuple(items)))
 
         @F.pandas_udf(LEAKS)
         def of(texts: pd.Series) -> pd.Series:
-            matcher = _matcher(held)
+            matcher = worker_cache(key, lambda: Matcher(held.value))
             return pd.Series([[dict(zip(("item_id", "similarity", "first_word", "n_words"), x, strict=True)) for x in matcher.leaks(matcher.hashes(words_of(t)))] for t in texts])
 
         return out.withColumn("leaks", F.concat("leaks", of.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))))  # else a filter on leaks runs it twice
@@ -169,16 +171,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     return scan(out, block) if block else out
 
 
-_held: dict = {}
-
-
-def _matcher(broadcast) -> Matcher:
-    if id(broadcast.value) not in _held:
-        _held.clear()
-        _held[id(broadcast.value)] = (broadcast.value, Matcher(broadcast.value))
-    return _held[id(broadcast.value)][1]
-
-
 def leak_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): one row for each document and item that it leaks."""
     return find_leaks(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")

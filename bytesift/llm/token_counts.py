@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import text_slices
+from bytesift.llm.common import text_slices, worker_cache
 from bytesift.llm.tokens import LONGEST_CACHED, UnitCache, byte_path, byte_units, load
 
 FAN_IN = 64
@@ -95,13 +95,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", l
     }).drop("_counted")
 
 
-_caches: dict = {}
-
-
 def _cache(path: str, first) -> UnitCache:
     """This worker's cache; the units it has met stay from task to task."""
-    key = (path, hash(frozenset(first.value.items())))
-    if key not in _caches:
-        _caches.clear()
-        _caches[key] = UnitCache(path, len, False, first.value)
-    return _caches[key]
+    return worker_cache(("counts", path, hash(frozenset(first.value.items()))), lambda: UnitCache(path, len, False, first.value))

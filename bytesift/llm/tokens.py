@@ -16,6 +16,8 @@ from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
+from bytesift.llm.common import worker_cache
+
 BYTE_UNIT = re.compile(r"[ \t\r\n]*[^\W\d_]+|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 WORD_UNIT = re.compile(r"[^\W\d_]+|[^ \t\r\n]+")
 SPACED = re.compile(r"[^ \t\r\n]+")
@@ -23,7 +25,7 @@ SPACED = re.compile(r"[^ \t\r\n]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Longer units are encoded each time, so a cache's size is bounded.
 LONGEST_CACHED = 48
-CACHED = 1_000_000
+CACHED = 700_000
 
 
 @lru_cache(maxsize=1)
@@ -152,9 +154,8 @@ def ids_as_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-@lru_cache(maxsize=4)
 def id_cache(path: str) -> UnitCache:
-    return UnitCache(path, ids_as_bytes, True)
+    return worker_cache(("ids", path), lambda: UnitCache(path, ids_as_bytes, True))
 
 
 def word_ids(path: str, texts: list[str]) -> list[bytes]:

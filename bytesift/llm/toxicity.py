@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import crc_bucket_col
+from bytesift.llm.common import crc_bucket_col, worker_cache
 
 WORD = re.compile(r"[^\W\d_]+")
 #: A word is cut into windows of so many characters; segments are 4 to 12 characters with the leading space.
@@ -101,7 +101,7 @@ class Gains:
             return []
         distinct = set(words)
         new = list(distinct.difference(self.met))
-        if len(self.met) > 1_000_000:
+        if len(self.met) > 600_000:
             self.met = set()
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
@@ -184,9 +184,6 @@ def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", toxic
     return [r["t"] for r in rows if r["toxic"] == 1], [r["t"] for r in rows if r["toxic"] == 0]
 
 
-_gains: dict = {}
-
-
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 if score >= 0.7) and n_windows of every whole text.
 
@@ -194,14 +191,11 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     replaced, others pass through; repeated rows stay; an empty table: an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = hash((model.toxic, model.gain, tuple(model.weights)))
+    key = ("toxicity", hash((model.toxic, model.gain, tuple(model.weights))))
 
     @F.pandas_udf("score double, n_windows long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        if key not in _gains:
-            _gains.clear()
-            _gains[key] = Gains(held.value)
-        gains, m = _gains[key], held.value
+        gains, m = worker_cache(key, lambda: Gains(held.value)), held.value
         x, n = [], []
         for t in texts:
             words = windows(t)
