@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -75,6 +76,10 @@ def worker_cache(key, make):
     """What ``make`` gave for ``key`` in this worker. Only the last key's is held, so operators that follow each other don't add up their caches."""
     if key not in _worker:
         _worker.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # gives the memory back to the system
+        except (OSError, AttributeError):  # another C library than glibc keeps it
+            pass
         _worker[key] = make()
     return _worker[key]
 

@@ -42,7 +42,7 @@ class WordHashes:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        if len(self.known) > 500_000:
+        if len(self.known) > 250_000:
             self.known = {}
         for w in set(words).difference(self.known):
             self.known[w] = xxh64_intdigest(w)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesift.llm.common import materialise, text_slices
-from bytesift.llm.tokens import word_ids, word_path
+from bytesift.llm.tokens import CACHED, word_ids, word_path
 
 ISLAND = 4096
 ROUNDS = 2
@@ -126,7 +126,7 @@ def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, seed
     return scored[0][2]
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then ``end_id``, cut at ``capacity``."""
     path = path or word_path()
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
             texts, keys = pdf["t"].tolist(), pdf["doc_id"].astype("Int64")
             for i, j in text_slices(texts):
                 rows = []
-                for key, x in zip(keys[i:j], word_ids(path, texts[i:j]), strict=True):
+                for key, x in zip(keys[i:j], word_ids(path, texts[i:j], cached), strict=True):
                     x += end
                     for p, at in enumerate(range(0, len(x), 4 * capacity)):
                         part = x[at : at + 4 * capacity]
@@ -249,14 +249,15 @@ def pack(lengths: DataFrame, capacity: int = 2048, island: int = ISLAND, rounds:
     return out
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 2048, keep_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """Every document's pieces with their sequence_id and offset: few sequences of at most ``capacity`` ids.
 
     Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept). A null or
     empty text is one piece of the end id; a null doc_id stays null; repeated rows are packed each;
-    other columns of ``docs`` are not read. An empty table: an empty result.
+    other columns of ``docs`` are not read. An empty table: an empty result. ``cached`` bounds each
+    worker's table of units, whatever the result.
     """
-    found = pieces(docs, path, capacity, keep_ids=keep_ids).withColumn("row", F.monotonically_increasing_id())
+    found = pieces(docs, path, capacity, keep_ids=keep_ids, cached=cached).withColumn("row", F.monotonically_increasing_id())
     found = materialise(found, "pieces")
     placed = pack(found.select("row", "length"), capacity)
     return found.join(placed, "row").drop("row")

@@ -129,14 +129,14 @@ class Encoder:
 class UnitCache:
     """Of one worker: unit -> what ``keep`` makes of its ids, beginning with the fixed table ``first``."""
 
-    def __init__(self, path: str, keep, words: bool, first: dict | None = None):
-        self.encoder, self.keep, self.first = Encoder(path, words), keep, first or {}
+    def __init__(self, path: str, keep, words: bool, first: dict | None = None, cached: int = CACHED):
+        self.encoder, self.keep, self.first, self.cached = Encoder(path, words), keep, first or {}, cached
         self.found = dict(self.first)
 
     def __call__(self, lists: list[list[str]]) -> list[list]:
         """For each list of units, the kept values in order."""
         units = set().union(*lists) if lists else set()
-        if len(self.found) > CACHED:  # what this batch needs stays, usual units above all
+        if len(self.found) > self.cached:  # what this batch needs stays, usual units above all
             self.found = self.first | {u: self.found[u] for u in units.intersection(self.found)}
         found, long = self.found, []
         new = list(units.difference(found))
@@ -154,10 +154,10 @@ def ids_as_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def id_cache(path: str) -> UnitCache:
-    return worker_cache(("ids", path), lambda: UnitCache(path, ids_as_bytes, True))
+def id_cache(path: str, cached: int = CACHED) -> UnitCache:
+    return worker_cache(("ids", path, cached), lambda: UnitCache(path, ids_as_bytes, True, cached=cached))
 
 
-def word_ids(path: str, texts: list[str]) -> list[bytes]:
+def word_ids(path: str, texts: list[str], cached: int = CACHED) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    return [b"".join(parts) for parts in id_cache(path)([word_units(t) for t in texts])]
+    return [b"".join(parts) for parts in id_cache(path, cached)([word_units(t) for t in texts])]

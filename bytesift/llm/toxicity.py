@@ -101,7 +101,7 @@ class Gains:
             return []
         distinct = set(words)
         new = list(distinct.difference(self.met))
-        if len(self.met) > 600_000:
+        if len(self.met) > 250_000:
             self.met = set()
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
