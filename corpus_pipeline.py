@@ -52,7 +52,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their sequence and offset."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cached=150_000)  # workers still hold what earlier stages left
 
 
 STAGES = [
