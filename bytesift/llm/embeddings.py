@@ -1,9 +1,9 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by exact passes over pairs of blocks.
 
-In each pass vectors are ordered by the signs of random projections, read as one binary word,
-and each is compared with the ``window`` vectors after it; verified links of all passes are united to
-components. Links are then counted exactly inside each component, block by block, so a group
-far larger than a window loses none.
+Distinct vectors are dealt to blocks of at most about ``BLOCK`` rows, and every pair of blocks of one
+length is compared whole by products of matrices: in single precision first, in double wherever that can't tell. Links
+are united to components in the tasks that find them, then counted exactly inside each
+component, block by block. No pair of vectors is passed over, so the work grows with the square of the distinct vectors.
 """
 
 from __future__ import annotations
@@ -15,17 +15,9 @@ from pyspark.sql import functions as F
 
 from bytesift.llm.common import connected_components, local_components, materialise, partitions
 
-COSINE, PASSES, BITS, WINDOW, CHUNK = 0.95, 12, 48, 32, 512
-
-
-def projection_keys(vectors: np.ndarray, passes: int, bits: int, seed: int = 11) -> np.ndarray:
-    """(vectors x passes): the first ``bits`` projections' signs, the first as the highest bit."""
-    out = np.zeros((len(vectors), passes), dtype=np.int64)
-    for p in range(passes):
-        planes = np.random.default_rng([seed, p, vectors.shape[1]]).standard_normal((vectors.shape[1], bits))
-        for b, row in enumerate((vectors @ planes > 0).T):
-            out[:, p] |= row.astype(np.int64) << (bits - 1 - b)
-    return out
+COSINE, BLOCK, CHUNK = 0.95, 8192, 512
+#: Numbers in a block, which long vectors have fewer rows for; rows compared with a block at once.
+NUMBERS, SLAB = 1 << 22, 256
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -35,47 +27,55 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def neighbour_links(nodes: np.ndarray, vectors: np.ndarray, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    a, b = [], []
-    for d in range(1, min(window, len(nodes) - 1) + 1):
-        at = np.flatnonzero(np.einsum("ij,ij->i", vectors[:-d], vectors[d:]) >= cosine)
-        a.append(nodes[at])
-        b.append(nodes[at + d])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-
-def pass_links(distinct: DataFrame, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
-    """Links (a, b) of ``distinct(node, dim, v)`` that connect all pairs found; no pairs of a group are listed."""
-
-    @F.pandas_udf("array<long>")
-    def keys(vs: pd.Series) -> pd.Series:
-        out: list = [None] * len(vs)
-        dims = vs.map(len).to_numpy()
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            found = projection_keys(unit(np.stack(vs.iloc[at].tolist())), passes, bits)
-            for i, row in zip(at.tolist(), found, strict=True):
-                out[i] = row
-        return pd.Series(out)
-
-    def compare(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            group = pdf["pass"].to_numpy(np.int64) * (1 << 32) + pdf["dim"].to_numpy(np.int64)
-            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-            a, b = [], []
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                x, y = neighbour_links(pdf["node"].to_numpy(np.int64)[i:j], unit(np.stack(pdf["v"].iloc[i:j].tolist())), window, cosine)
-                a.append(x)
-                b.append(y)
-            nodes, low = local_components(np.concatenate(a), np.concatenate(b)) if sum(map(len, a)) else (np.zeros(0, np.int64),) * 2
-            yield pd.DataFrame({"a": nodes[nodes != low], "b": low[nodes != low]})
-            held = pdf.iloc[max(int(edges[-2]), len(pdf) - window) :]
-
-    dealt = distinct.select("node", "dim", "v", F.posexplode(keys("v")).alias("pass", "key"))
-    ordered = dealt.repartitionByRange(partitions(distinct.sparkSession), "pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
-    return ordered.select("pass", "dim", "node", "v").mapInPandas(compare, "a long, b long")
+def block_links(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what all pairs of ``x`` with ``y`` (unit rows of the nodes m and n) connect; pairs already connected are left out."""
+    low_x, low_y = x.astype(np.float32), y.astype(np.float32)
+    slack = (x.shape[1] + 8) * 2.0**-22  # beyond what single precision can be wrong by
+    nodes = np.unique(np.concatenate([m, n]))
+    at_m, at_n = np.searchsorted(nodes, m), np.searchsorted(nodes, n)
+    label = np.arange(len(nodes))
+    for s in range(0, len(x), SLAB):
+        product = low_x[s : s + SLAB] @ low_y.T
+        i, j = np.nonzero(product >= cosine - slack)
+        apart = label[at_m[s + i]] != label[at_n[j]]
+        i, j = i[apart], j[apart]
+        unsure = np.flatnonzero(product[i, j] < cosine + slack)
+        keep = np.ones(len(i), dtype=bool)
+        for k in range(0, len(unsure), 1 << 16):
+            part = unsure[k : k + (1 << 16)]
+            keep[part] = np.einsum("ij,ij->i", x[s + i[part]], y[j[part]]) >= cosine
+        if keep.any():
+            held, low = local_components(label[at_m[s + i[keep]]], label[at_n[j[keep]]])
+            up = np.arange(len(nodes))
+            up[held] = low
+            label = up[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def all_links(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of ``distinct(node, dim, v)`` that connect all pairs of at least ``cosine``; no pairs of a group are listed."""
+    kind = "<f4" if distinct.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(pdf["v"].tolist()).astype(kind)
+        return pdf.head(1)[["dim", "k", "c"]].assign(nodes=pdf["node"].to_numpy("<i8").tobytes(), vectors=vectors.tobytes())
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        dim, sides = int(pdf["dim"].iloc[0]), []
+        for nodes, vectors in zip(pdf["nodes"], pdf["vectors"], strict=True):
+            sides.append((unit(np.frombuffer(vectors, kind).reshape(-1, dim)), np.frombuffer(nodes, "<i8").astype(np.int64)))
+        (x, m), (y, n) = sides[0], sides[-1]  # a block with itself is one row
+        a, b = block_links(x, y, m, n, cosine)
+        return pd.DataFrame({"a": a, "b": b})
+
+    rows = F.least(F.lit(block), F.greatest(F.lit(64), F.floor(F.lit(NUMBERS) / F.col("dim"))))
+    sizes = distinct.groupBy("dim").agg(F.count("*").alias("size")).select("dim", F.ceil(F.col("size") / rows).cast("int").alias("k"))
+    cut = distinct.select("node", "dim", "v").join(F.broadcast(sizes), "dim").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    packed = materialise(cut.groupBy("dim", "k", "c").applyInPandas(pack, "dim int, k int, c int, nodes binary, vectors binary"), "blocks")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least("c", x).alias("i"), F.greatest("c", x).alias("j")))
+    dealt = packed.select("dim", "nodes", "vectors", F.explode(pairs).alias("p")).select("dim", "nodes", "vectors", "p.i", "p.j")
+    return dealt.repartition(partitions(distinct.sparkSession), "dim", "i", "j").groupBy("dim", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def count_links(members: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
@@ -117,7 +117,7 @@ def count_links(members: DataFrame, cosine: float = COSINE, chunk: int = CHUNK)
     return found.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row, linking pairs with cosine of at least ``cosine``.
 
     A vector that is null, empty or zero, or holds null or non-finite components, links with nothing;
@@ -130,7 +130,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, passes: int =
     rows = rows.withColumns({"h": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "g": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))})
     distinct = rows.where(F.col("v").isNotNull()).groupBy("h", "g").agg(F.count("*").alias("mult"), F.min("vec_id").alias("low"), F.first("v").alias("v"))
     distinct = materialise(distinct.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node")), "vectors")
-    groups = connected_components(pass_links(distinct, passes, window=window, cosine=cosine)).select(F.col("node").alias("n"), "component")
+    groups = connected_components(all_links(distinct, cosine)).select(F.col("node").alias("n"), "component")
     members = materialise(distinct.join(groups, F.col("node") == F.col("n")).select("component", "node", "mult", "v", "dim", "low"), "members")
     links = count_links(members.drop("low"), cosine).withColumnRenamed("node", "m")
     lowest = members.groupBy("component").agg(F.min("low").alias("component_low")).withColumnRenamed("component", "of")

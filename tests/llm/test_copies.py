@@ -98,6 +98,42 @@ def test_embeddings_equal_all_pairs(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def dense_third(n, seed=6, dims=64):
+    """A third of the rows in one region of mutual cosine about 0.9, below the threshold, with planted pairs in it at 0.952 or more."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    centre = rng.standard_normal(dims)
+    centre /= np.linalg.norm(centre)
+    near = rng.standard_normal((n // 3, dims)) / np.sqrt(dims)
+    x[: n // 3] = np.sqrt(0.9) * centre + np.sqrt(0.1) * near
+    half = n // 6
+    x[half : 2 * half] = x[:half] + rng.standard_normal((half, dims)) * 0.3 / np.sqrt(dims)
+    return x.astype(np.float32)
+
+
+def test_no_link_of_a_dense_region_is_missed(spark):
+    v = dense_third(4000)
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    comp = groups(len(x), list(zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True)))
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    assert linked.sum() > 1000
+    assert [got[k]["n_links"] for k in range(len(x))] == linked.sum(axis=1).tolist()
+    assert [got[k]["component_id"] for k in range(len(x))] == comp
+
+
+def test_links_between_blocks(spark):
+    v = dense_third(900, seed=7)
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = groups(len(x), [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.95)), strict=True) if i < j])
+    df = spark.createDataFrame([(k, 64, r) for k, r in enumerate(v.tolist())], "node long, dim int, v array<float>")
+    for block in (100, 5000):
+        links = embeddings.all_links(df, block=block).collect()
+        assert groups(len(x), [(r["a"], r["b"]) for r in links]) == want
+
+
 def test_links_are_counted_across_chunks(spark):
     rng = np.random.default_rng(1)
     v = [(0, k, int(rng.integers(1, 4)), [float(a) for a in rng.standard_normal(4)], 4) for k in range(90)]
