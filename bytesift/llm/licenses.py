@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a text's stretch between line breaks or ends of sentences; its tokens are a set. Tokens are
-ordered by their frequency over all documents, the rarest first. A template T matches a block B if they
+A block is a text's stretch between line breaks or ends of sentences; its tokens are a set. A notice may be
+wrapped, so a line together with the words that follow it is a block too: as many as the longest template has,
+up to the end of the sentence or a line without words. Tokens are ordered by their frequency over all documents, the rarest first. A template T matches a block B if they
 share at least need = ceil(THRESHOLD * |T|) tokens, so B must hold one of the first |T| - need + 1 tokens of T
 (prefix filter), at least ``need`` template tokens (length filter), and after the first common
 token both must have enough left (positional filter); what remains is verified by its overlap. The
@@ -38,6 +39,9 @@ TEMPLATES = [
     ("public-domain", "this work is dedicated to the public domain"),
     ("reserved", "copyright all rights reserved"),
 ]
+#: Ends of sentences and lines without a word, which end what a wrapped notice may span.
+PARAGRAPH = r"(?<=[.!?;])[ \t\r\n]+|\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n)+"
+LONGEST = max(len(t.split()) for _, t in TEMPLATES)
 
 
 def tokens_of(template: str) -> list[str]:
@@ -105,9 +109,24 @@ def matches(text: Column, order: list[str]) -> Column:
     blocks = F.split(F.regexp_replace(low, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
     vocabulary, templates = F.array(*map(F.lit, order)), template_table(order)
 
-    def of_block(block: Column) -> Column:
+    def words(block: Column) -> Column:
+        return F.btrim(F.regexp_replace(block, NOT_WORD, " "))
+
+    def held_by(words: Column) -> Column:
         # in the order of the vocabulary, each once
-        return F.array_intersect(vocabulary, F.split(F.btrim(F.regexp_replace(block, NOT_WORD, " ")), " "))
+        return F.array_intersect(vocabulary, F.split(words, " "))
+
+    def wrapped(lines: Column) -> Column:
+        heads = F.transform(lines, lambda x: F.substring_index(x, " ", LONGEST))
+
+        def of_line(heads: Column) -> Column:
+            def after(k: Column) -> Column:
+                return F.substring_index(F.array_join(F.slice(heads, k + 1, LONGEST), " "), " ", LONGEST)
+
+            return F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda k: F.concat_ws(" ", F.element_at(lines, k), after(k)))
+
+        # an array of one stands for a variable: what it holds is worked out once
+        return F.when(F.size(lines) > 1, F.flatten(F.transform(F.array(heads), of_line))).otherwise(F.array().cast("array<string>"))
 
     def candidates(held: Column) -> Column:
         def passes(t: Column) -> Column:
@@ -121,7 +140,8 @@ def matches(text: Column, order: list[str]) -> Column:
 
         return F.filter(F.transform(F.filter(templates, passes), verified), lambda m: m["containment"] >= THRESHOLD)
 
-    sets = F.filter(F.transform(blocks, of_block), lambda held: F.size(held) > 0)
+    joined = F.flatten(F.transform(F.transform(F.split(low, PARAGRAPH), lambda p: F.transform(F.split(p, "\n"), words)), wrapped))
+    sets = F.filter(F.transform(F.concat(F.transform(blocks, words), joined), held_by), lambda held: F.size(held) > 0)
     return F.flatten(F.transform(sets, candidates))
 
 

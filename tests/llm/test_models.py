@@ -209,3 +209,15 @@ def test_license_filters_lose_nothing(spark, odd_docs, no_docs):
     assert (rows[204]["n_base"], rows[205]["n_base"], rows[206]["n_base"], rows[201]["n_words"], rows[202]["n_words"]) == (1, 1, 0, 0, 1)
     assert rows[202]["first_word"] is None
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count() and licenses.scan_licenses(no_docs).count() == 0
+
+
+def test_wrapped_notices_are_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"
+    cases = [("mit", mit), ("bsd", bsd), ("isc", isc), ("mit", mit.replace("\n", "\r\n")), ("bsd", "/*\n * " + bsd.replace("\n", "\n * ") + "\n */")]
+    cases += [("mit", "A title\n" + mit.replace(" ", "\n")), ("bsd", "x y\n" + bsd.replace(" in ", "\nin ")), ("", bsd.replace("\n", "\n\n")), ("", bsd.replace("\n", "\n *\n")), ("", bsd.replace("\n", ".\n"))]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    assert [rows[k]["labels"] for k in range(len(cases))] == [label for label, _ in cases]
+    assert [rows[k]["score"] >= licenses.THRESHOLD for k in range(len(cases))] == [label != "" for label, _ in cases]
