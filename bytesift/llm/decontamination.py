@@ -5,7 +5,8 @@ items whose fingerprints are near: the 64 bits are cut into eight blocks, and of
 differ in at most RADIUS bits one block differs in at most RADIUS // 8, so looking up each block's
 neighbourhood finds every item within the radius. Candidates are then verified by the
 weighted Jaccard similarity of the two multisets of shingles. Windows that hold too few of the
-items' shingles to reach the threshold get no fingerprint.
+items' shingles to reach the threshold get no fingerprint. A text shorter than an item is one window with
+its own number of shingles, compared with every item that it shares enough shingles with.
 """
 
 from __future__ import annotations
@@ -67,9 +68,9 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.sum(axis=1, dtype=np.int32) * 2 > hashes.shape[1], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def least_common(n: int, threshold: float = THRESHOLD) -> int:
-    """Shingles that two multisets of ``n`` must share: c / (2n - c) >= threshold."""
-    return int(np.ceil(2 * n * threshold / (1 + threshold) - 1e-9))
+def least_common(n: int, m: int | None = None, threshold: float = THRESHOLD) -> int:
+    """Shingles that multisets of ``n`` and ``m`` (else ``n`` too) must share: c / (n + m - c) >= threshold."""
+    return int(np.ceil((n + (n if m is None else m)) * threshold / (1 + threshold) - 1e-9))
 
 
 class Index:
@@ -82,6 +83,8 @@ class Index:
         self.counts = [Counter(row.tolist()) for row in hashed]
         self.prints = fingerprints(hashed)
         self.n = hashed.shape[1]
+        order = np.argsort(hashed, axis=None, kind="stable")
+        self.sorted, self.owner = hashed.ravel()[order], (order // self.n).astype(np.int32)
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= RADIUS // BLOCKS
         values = self.prints.view(np.uint8).reshape(-1, 8)
         self.table = near[:, values].transpose(2, 0, 1)  # block x value x item
@@ -96,6 +99,13 @@ class Index:
         near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
         return w[near], i[near]
 
+    def sharing(self, shingles: np.ndarray, least: int) -> np.ndarray:
+        """Items with at least ``least`` shingles, repeats counted, that are among ``shingles``."""
+        distinct = np.unique(shingles)
+        low, high = np.searchsorted(self.sorted, distinct, "left"), np.searchsorted(self.sorted, distinct, "right")
+        owners = [self.owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
+        return np.flatnonzero(np.bincount(np.concatenate(owners)) >= least) if owners else np.zeros(0, np.int64)
+
 
 class Matcher:
     """All items; finds each document's leaks."""
@@ -129,6 +139,14 @@ class Matcher:
             if not len(shingles) or not (hit := self.hits(shingles, size)).any():
                 continue
             before = np.concatenate([[0], np.cumsum(hit)])
+            for index in (x for x in self.indexes if x.size == size and x.n > len(shingles) >= THRESHOLD * x.n - 1e-9):
+                if before[-1] < (least := least_common(index.n, len(shingles))):
+                    continue
+                whole = Counter(shingles.tolist())
+                for k in index.sharing(shingles, least).tolist():
+                    common = sum((whole & index.counts[k]).values())
+                    if (sim := common / (index.n + len(shingles) - common)) >= THRESHOLD and sim > best.get(index.ids[k], (0.0,))[0]:
+                        best[index.ids[k]] = (sim, 0, len(h))
             for index in (x for x in self.indexes if x.size == size and x.n <= len(shingles)):
                 held = before[index.n :] - before[: -index.n]
                 starts = np.flatnonzero(held >= least_common(index.n))
@@ -147,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     """``docs`` with leaks: of each item that a passage matches, the best window's similarity, first word and word count.
 
     A null or empty text has none; null item ids and items without a word match nothing; items of under
-    five words are one shingle and match where their words stand. Repeated rows stay; other columns pass
+    five words are one shingle and match where their words stand. A text shorter than an item is compared with it whole. Repeated rows stay; other columns pass
     through, ``leaks`` is replaced. An empty table or benchmark: no leaks. Items are broadcast at most
     20,000 at a time, each such block over all documents.
     """

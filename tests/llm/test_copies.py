@@ -188,6 +188,42 @@ def test_leaks_equal_all_windows(spark, odd_docs, words):
     assert decontamination.leak_rows(odd_docs, bench).where("doc_id = 7").count() == len(slow_leaks(odd_docs.where("doc_id = 7").first()["text"], items))
 
 
+def slow_short_leaks(text, items):
+    """As slow_leaks, of the items that are longer than the text."""
+    words, found = text.encode().lower().split(), {}
+    for item, body in items:
+        want = (body or "").encode().lower().split()
+        if item is None or not (k := min(5, len(want))) or len(words) >= len(want):
+            continue
+        here, there = (Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (words, want))
+        common = sum((here & there).values())
+        if here and (sim := common / (here.total() + there.total() - common)) >= 0.8:
+            found[item] = sim
+    return found
+
+
+def test_texts_shorter_than_an_item_leak(spark, words):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, text(rng.randint(4, 70))) for k in range(60)] + [(60, text(50)), (61, "a b " * 12), (62, "one two three four five six")]
+    items += [(63, items[60][1] + " more")]
+    docs = [(0, " ".join(items[60][1].split()[:-1])), (1, "a b " * 11), (2, "one two three four five"), (3, "one two three four"), (4, ""), (5, items[60][1])]
+    for k in range(200):
+        body = rng.choice(items)[1].split()
+        cut = body[rng.randint(0, 3) : len(body) - rng.randint(0, 6)]
+        if cut and rng.random() < 0.4:
+            del cut[rng.randrange(len(cut))]
+        docs.append((100 + k, " ".join(cut)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in decontamination.leak_rows(df, bench).collect():
+        got.setdefault(r["doc_id"], {})[r["item_id"]] = r["similarity"]
+    want = {i: f for i, t in docs if (f := slow_leaks(t, items) | slow_short_leaks(t, items))}
+    assert got == want and sum(bool(slow_short_leaks(t, items)) for _, t in docs) > 50
+    assert got[0][60] == 45 / 46 and 63 in got[5]
+    assert not {r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()} & set(want)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(3)
     items = [(k, rng.integers(0, 1 << 63, 30, dtype=np.uint64)) for k in range(40)]
