@@ -441,13 +441,21 @@ def language_counts(spark, sf):
 
 @query(r"""SELECT doc_id, 'other' AS language FROM documents WHERE len(regexp_extract(coalesce(text, ''), '[\t\n\r\x20-\x7e]{160}[\t\n\r\x20-\x7e]*')) >= 600""")
 def kept_unknown(spark, sf):
-    """Long first runs of no known language are kept as ``other``; documents hold no source code."""
+    """Long first runs, taken as of no language, are kept as ``other``; ``kept_runs`` decides on every run."""
     run = F.element_at(F.concat(text.text_runs(_bytes("text")), F.array(F.lit(""))), 1)
     rows = table(spark, sf, "documents").select("doc_id", run.alias("run"))
     none = F.struct(F.lit(None).cast("string").alias("language"))
     return rows.select("doc_id", text.kept_language(none, F.length("run")).alias("language")).where("language IS NOT NULL")
 
 
+@query()
+def kept_runs(spark, sf):
+    """Every run of a document by the reference's rule: its language, or ``other`` if it is long and of none (tested against brute force)."""
+    rows = text.run_rows(table(spark, sf, "documents").select("doc_id", _bytes("text").alias("d")), "d")
+    language = text.kept_language(text.classified(F.col("run")), F.col("length"))
+    return rows.select("doc_id", "run_no", "length", language.alias("language")).where("language IS NOT NULL")
+
+
 @query()
 def crc_tags(spark, sf):
     """crc32 of every text, for checks of carved members (tested against zlib)."""
