@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import crc_bucket_col
+from bytesift.llm.common import crc_bucket_col, materialise, release
 
 SPAN, HIDDEN, PAD = 64, 8, 256
 #: Windows that go through the network at once.
@@ -190,19 +190,22 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 220, b
 def training_rows(docs: DataFrame, text: str = "text", per_language: int = 250, longest: int = 60_000) -> tuple[list[str], list[str]]:
     """(texts, languages): of each of the 256 most frequent languages at most so many rows, those whose ids hash lowest.
 
-    Only rows with a language whose crc32(doc_id as text) mod 3 is not 1; texts over ``longest`` characters
-    aren't learned from.
+    Only rows with a language whose crc32(doc_id as text) mod 3 is not 1; empty texts and those over ``longest``
+    characters aren't learned from and take no other row's place.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket_col("doc_id", 3) != 1))
-    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
+    t = F.length(text)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket_col("doc_id", 3) != 1) & (t > 0) & (t <= longest))
+    learnable = materialise(usable.select("doc_id", "lang"), "learnable")
+    names = [r["lang"] for r in learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
     picked = None
     for name in names:
-        few = usable.where(F.col("lang") == name).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
+        few = learnable.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
         picked = few if picked is None else picked.unionByName(few)
     if picked is None:
         return [], []
     ids = picked.distinct().withColumnRenamed("lang", "as_lang")
-    rows = usable.select("doc_id", "lang", F.col(text).alias("t")).where((F.length("t") > 0) & (F.length("t") <= longest)).join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("as_lang")).select("doc_id", "lang", "t").collect()
+    rows = usable.select("doc_id", "lang", F.col(text).alias("t")).join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("as_lang")).select("doc_id", "lang", "t").collect()
+    release(learnable)
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["t"]))
     return [r["t"] for r in rows], [r["lang"] for r in rows]
 

@@ -221,3 +221,27 @@ def test_wrapped_notices_are_found(spark):
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
     assert [rows[k]["labels"] for k in range(len(cases))] == [label for label, _ in cases]
     assert [rows[k]["score"] >= licenses.THRESHOLD for k in range(len(cases))] == [label != "" for label, _ in cases]
+
+
+# --- rows that models are fitted on -------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def low_rows_useless(spark):
+    """Ids that may be learned from, in the order of their hashes: the first 20 have an empty, a null or an overlong text."""
+    ids = [r["id"] for r in spark.range(100).orderBy(F.xxhash64("id"), "id").collect() if crc_bucket(r["id"], 3) != 1]
+    rows = [(i, ["", None, "x" * 60_001][k % 3] if k < 20 else f"text {i}", "xx", k % 2) for k, i in enumerate(ids)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int"), rows
+
+
+def test_language_rows_are_chosen_among_usable_texts(low_rows_useless):
+    df, rows = low_rows_useless
+    texts, langs = language.training_rows(df, per_language=15)
+    assert sorted(texts) == sorted(t for _, t, _, _ in rows[20:35]) and langs == ["xx"] * 15
+
+
+def test_toxicity_rows_are_chosen_among_usable_texts(low_rows_useless):
+    df, rows = low_rows_useless
+    found = toxicity.training_texts(df.select("doc_id", "text"), df.select("doc_id", "toxic"), toxic_rows=8, ordinary_rows=12)
+    for texts, toxic, n in zip(found, (1, 0), (8, 12), strict=True):
+        assert sorted(texts) == sorted([t for _, t, _, y in rows[20:] if y == toxic][:n])
