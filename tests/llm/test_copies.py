@@ -124,6 +124,20 @@ def test_no_link_of_a_dense_region_is_missed(spark):
     assert [got[k]["component_id"] for k in range(len(x))] == comp
 
 
+def test_many_partitions_lose_no_link(spark):
+    v = dense_third(600, seed=9)
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        df = spark.createDataFrame([(k, 64, r) for k, r in enumerate(v.tolist())], "node long, dim int, v array<float>")
+        links = embeddings.all_links(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    near = np.argwhere(np.triu(x @ x.T >= 0.95, 1)).tolist()
+    assert groups(len(x), [(r["a"], r["b"]) for r in links]) == groups(len(x), near)
+
+
 def test_links_between_blocks(spark):
     v = dense_third(900, seed=7)
     x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
