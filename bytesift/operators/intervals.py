@@ -42,30 +42,37 @@ def merge_gaps(df: DataFrame, group: list[str], start: str, end: str, gap: int,
     return runs.groupBy(*group, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members")).drop("island")
 
 
-def _binned(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    last = F.greatest(F.col(end) - 1, F.col(start))
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(last / width))))
-
-
-def outside(left: DataFrame, right: DataFrame, group: list[str], start: str, end: str, width: int = 1 << 20) -> DataFrame:
-    """Rows of ``left`` that overlap no interval of ``right``: an anti range join by equal bins of ``width``."""
-    bins = _binned(right.select(*group, start, end), start, end, width)
-    per = bins.groupBy(*group, "_bin").agg(F.collect_set(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))).alias("_held"))
-    # every interval looks up the bins it covers; a row's bins come together again by its own values
-    names = left.columns
-    cut = _binned(left, start, end, width)
-    same = [F.col(f"a.`{g}`") == F.col(f"b.`{g}`") for g in group] + [F.col("a._bin") == F.col("b._bin")]
-    found = cut.alias("a").join(per.alias("b"), same, "left").select("a.*", F.coalesce(F.exists("_held", lambda h: (h["s"] < F.col(f"a.`{end}`")) & (F.col(f"a.`{start}`") < h["e"])), F.lit(False)).alias("_hit"))
-    rows = found.groupBy(*names).agg(F.max("_hit").alias("_hit"), F.count("*").alias("_n"), F.first(F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width) - F.floor(F.col(start) / width) + 1).alias("_bins"))
-    kept = rows.where(~F.col("_hit")).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / F.col("_bins")).cast("int"))))
-    return kept.select(*names)
-
-
-def within(points: DataFrame, extents: DataFrame, group: list[str], offset: str, start: str, end: str, width: int = 1 << 20) -> DataFrame:
+def _reach(rows: DataFrame, spans: DataFrame, group: list[str], at: str, start: str, end: str, zone: int, touching: bool) -> DataFrame:
+    """``rows`` with ``_reach``: the farthest end of ``spans`` that begin before ``at`` (or at it, if ``touching``).
+
+    One sort of both tables by place, zone by zone; what earlier zones reach to comes as one row a zone.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    keys = [F.col(f"`{g}`").alias(f"_g{k}") for k, g in enumerate(group)]
+    here = rows.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(0 if not touching else 1).alias("_last"), F.lit(None).cast("long").alias("_end"), row.alias("_row"))
+    there = spans.select(*keys, F.col(start).cast("long").alias("_at"), F.lit(1 if not touching else 0).alias("_last"), F.col(end).cast("long").alias("_end"), F.lit(None).cast(here.schema["_row"].dataType).alias("_row"))
+    both = here.unionByName(there).withColumn("_zone", F.floor(F.col("_at") / zone))
+    names = [f"_g{k}" for k in range(len(group))]
+    across = Window.partitionBy(*names).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
+    ends = there.withColumn("_zone", F.floor(F.col("_at") / zone)).groupBy(*names, "_zone").agg(F.max("_end").alias("_end"))
+    zones = here.withColumn("_zone", F.floor(F.col("_at") / zone)).groupBy(*names, "_zone").agg(F.lit(None).cast("long").alias("_end"))
+    carry = ends.unionByName(zones).groupBy(*names, "_zone").agg(F.max("_end").alias("_end")).withColumn("_carry", F.max("_end").over(across)).drop("_end")
+    inside = Window.partitionBy(*names, "_zone").orderBy("_at", "_last").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_far", F.max("_end").over(inside)).where("_row IS NOT NULL")
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*names, "_zone"]]
+    return found.alias("a").join(carry.alias("b"), same).select("a._row.*", F.greatest("a._far", "b._carry").alias("_reach"))
+
+
+def outside(left: DataFrame, right: DataFrame, group: list[str], start: str, end: str, zone: int = ZONE) -> DataFrame:
+    """Rows of ``left`` that overlap no interval of ``right``: an anti range join. Of the intervals that begin before a row ends none may end after it begins."""
+    return _reach(left, right, group, end, start, end, zone, touching=False).where(F.col("_reach").isNull() | (F.col("_reach") <= F.col(start))).drop("_reach")
+
+
+def within(points: DataFrame, extents: DataFrame, group: list[str], offset: str, start: str, end: str, zone: int = ZONE) -> DataFrame:
     """Rows of ``points`` whose offset lies in an extent: a semi range join. No extents at all: every row, as a scan of the whole image."""
-    bins = _binned(extents.select(*group, start, end), start, end, width).select(*[F.col(g).alias(f"_{g}") for g in group], F.col(start).alias("_s"), F.col(end).alias("_e"), "_bin")
-    on = [F.col(g) == F.col(f"_{g}") for g in group] + [F.floor(F.col(offset) / width) == F.col("_bin"), F.col(offset) >= F.col("_s"), F.col(offset) < F.col("_e")]
-    return points.join(bins, on, "left_semi") if extents.limit(1).count() else points
+    if not extents.limit(1).count():
+        return points
+    return _reach(points, extents, group, offset, start, end, zone, touching=True).where(F.col("_reach") > F.col(offset)).drop("_reach")
 
 
 class _Free:
