@@ -20,29 +20,33 @@ def filetime_iso(ticks: Column) -> Column:
 
 def reason_names(reason: Column) -> Column:
     """Known flags' names joined by ``|``; the hexadecimal value if none is known."""
-    names = [F.when(reason.bitwiseAND(F.lit(bit)) != 0, name) for bit, name in REASONS]
-    joined = F.array_join(F.filter(F.array(*names), lambda n: n.isNotNull()), "|")
-    return F.when(joined == "", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(reason)), 8, "0"))).otherwise(joined)
+    names = F.concat_ws("|", *[F.when(reason.bitwiseAND(F.lit(bit)) != 0, name) for bit, name in REASONS])
+    known = sum(bit for bit, _ in REASONS)
+    return F.when(reason.bitwiseAND(F.lit(known)) == 0, F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(reason)), 8, "0"))).otherwise(names)
+
+
+#: White space at the ends of a name: what Unicode calls so, and the ASCII separators.
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
 def sanitized_path(path: Column) -> Column:
-    """A relative path that is safe on any file system; empty becomes ``unnamed``.
+    """A relative path that is safe on any file system; null and empty become ``unnamed``.
 
-    Backslashes separate too, a drive letter goes; of each segment the outer spaces, then the outer dots go, forbidden
+    Backslashes separate too, a drive letter goes; of each segment the outer white space, then the outer dots go, forbidden
     characters become ``_`` and 200 characters stay; empty segments go.
     """
-    slashed = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^[A-Za-z]:", "")
-    segments = F.transform(F.split(slashed, "/"), lambda s: F.btrim(F.btrim(s), F.lit(".")))
+    slashed = F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), "^[A-Za-z]:", "")
+    segments = F.transform(F.split(slashed, "/"), lambda s: F.btrim(F.regexp_replace(s, f"^{_SPACE}|{_SPACE}$", ""), F.lit(".")))
     clean = F.transform(F.filter(segments, lambda s: F.length(s) > 0), lambda s: F.substring(F.regexp_replace(s, r'[<>:"|?*\x00-\x1f]', "_"), 1, 200))
     return F.when(F.size(clean) == 0, "unnamed").otherwise(F.array_join(clean, "/"))
 
 
 def human_size(n: Column) -> Column:
-    """Binary units with one decimal."""
+    """Binary units with one decimal; a negative size by its absolute value's unit."""
     out = F.format_string("%.1f PiB", n / float(1 << 50))
-    for power, unit in ((40, "TiB"), (30, "GiB"), (20, "MiB"), (10, "KiB")):
-        out = F.when(n < float(1 << (power + 10)), F.format_string(f"%.1f {unit}", n / float(1 << power))).otherwise(out)
-    return F.when(n < 1024, F.format_string("%.1f B", n / 1.0)).otherwise(out)
+    for power, unit in ((40, "TiB"), (30, "GiB"), (20, "MiB"), (10, "KiB"), (0, "B")):
+        out = F.when(F.abs(n) < float(1 << (power + 10)), F.format_string(f"%.1f {unit}", n / float(1 << power))).otherwise(out)
+    return out
 
 
 def hex_offset(offset: Column) -> Column:
@@ -55,7 +59,8 @@ def latin1(data: Column) -> Column:
 
 
 def byte_count(data: Column, value: int) -> Column:
-    return F.regexp_count(latin1(data), F.lit(f"\\x{value:02x}"))
+    text = latin1(data)
+    return F.length(text) - F.length(F.replace(text, F.lit(chr(value)), F.lit("")))
 
 
 def is_dead(data: Column, full: Column) -> Column:
@@ -64,17 +69,6 @@ def is_dead(data: Column, full: Column) -> Column:
     return F.when((byte_count(data, 255) == size) & full & (size > 0), "ff").when(byte_count(data, 0) >= size - 16, "zero")
 
 
-def entropy(data: Column) -> Column:
-    """Bits per byte of the first 4096 bytes; 0 for none."""
-    head = F.substring(data, 1, 4096)
-    # one sorted array of bytes; runs of equal bytes are found by array_position of the next value
-    chars = F.array_sort(F.split(F.hex(head), "(?<=\\G..)"))
-    size = F.octet_length(head)
-    values = F.filter(F.array_distinct(chars), lambda c: c != "")
-    counts = F.transform(values, lambda v: F.size(F.filter(chars, lambda c: c == v)))
-    return F.when(size == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda a, n: a - n / size * F.log2(n / size)))
-
-
 def preview(text: Column, size: int = 60) -> Column:
     return F.translate(F.substring(text, 1, size), "\n", " ")
 
@@ -88,11 +82,6 @@ def name_contains(path: Column, part: str) -> Column:
     return F.contains(F.lower(basename(path)), F.lit(part.lower()))
 
 
-def unsigned_le(data: Column, position: int, size: int) -> Column:
-    """A little-endian unsigned integer of at most 7 bytes at a 0-based position."""
-    return F.conv(F.hex(F.reverse(F.substring(data, position + 1, size))), 16, 10).cast("long")
-
-
 def storage_label(resident: Column, runs: Column, size: Column) -> Column:
     """Where a file's content is: in its record, in clusters, or nowhere."""
     return F.when(resident, "resident").when(runs > 0, "non-resident").when(size == 0, "empty").otherwise("none")

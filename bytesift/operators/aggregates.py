@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytesift.functions.blocks import HEAD, entropy_bits
+
 
 def class_counts(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
@@ -19,12 +22,14 @@ def best_by(df: DataFrame, by: list[str], score: str, rank: str, value: str) ->
     return df.groupBy(*by).agg(F.max_by(value, F.struct(F.col(score), -F.col(rank))).alias(value), F.max(score).alias(score))
 
 
-def byte_entropy(df: DataFrame, key: str, data: str, head: int = 4096) -> DataFrame:
-    """(key, entropy) of the first ``head`` bytes of a binary column, by counting bytes; 0 for none. Keys are unique."""
-    byte = F.explode(F.split(F.hex(F.substring(data, 1, head)), "(?<=\\G..)")).alias("byte")
-    counts = df.select(key, byte).where("byte <> ''").groupBy(key, "byte").agg(F.count("*").alias("n"))
-    per = counts.groupBy(key).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2(F.col("n") / 1.0)) / F.sum("n")).alias("entropy"))
-    return df.select(key).join(per, key, "left").select(key, F.greatest(F.lit(0.0), F.coalesce("entropy", F.lit(0.0))).alias("entropy"))
+def byte_entropy(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, entropy) of the first 4096 bytes of a binary column, row by row in Arrow batches: no row is cut into bytes and nothing is shuffled."""
+
+    @F.pandas_udf("double")
+    def bits(blobs: pd.Series) -> pd.Series:
+        return blobs.map(entropy_bits)
+
+    return df.select(key, bits(F.substring(F.coalesce(data, F.lit(b"")), 1, HEAD)).alias("entropy"))
 
 
 def record_counters(manifest: DataFrame) -> DataFrame:
