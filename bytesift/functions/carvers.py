@@ -96,24 +96,30 @@ def iso_kind(brand: bytes) -> tuple[str, str] | None:
     return None
 
 
+def boxes(read, at: int, stop: int):
+    """(type, offset, offset after it) of ISO base media boxes in a row: a 32-bit length and a type; length 1 means a 64-bit one follows."""
+    while at + 8 <= stop:
+        b = read(at, 16)
+        n = be(b[:4])
+        if n == 1:
+            n = be(b[8:16]) if len(b) == 16 else 0
+        if n < 8 or not re.fullmatch(rb"[A-Za-z0-9 _]{4}", b[4:8]):
+            return
+        yield b[4:8], at, at + n
+        at += n
+
+
 def iso_media(read, size, off):
-    """Walks the boxes; the file begins four bytes before the signature."""
+    """The boxes from four bytes before the signature on; the brand is the last file-type box's."""
     start = off - 4
-    if start < 0 or (first := be(read(start, 4))) != 1 and not 8 <= first <= VIDEO_MAX:
+    if start < 0 or not ((first := be(read(start, 4))) == 1 or 8 <= first <= VIDEO_MAX):
         return None
-    at, brand = start, None
-    while at + 8 <= min(size, start + VIDEO_MAX):
-        head = read(at, 16)
-        n = be(head[:4])
-        if n == 1:
-            n = be(head[8:16]) if len(head) == 16 else 0
-        if n < 8 or not re.fullmatch(rb"[A-Za-z0-9 _]{4}", head[4:8]):
-            break
-        if head[4:8] == b"ftyp":
+    end, brand = start, None
+    for name, at, end in boxes(read, start, min(size, start + VIDEO_MAX)):
+        if name == b"ftyp":
             brand = read(at + 8, 4)
-        at += n
     kind = iso_kind(brand) if brand is not None else None
-    return Found(start, at - start, *kind, "boxes") if kind and 16 <= at - start <= VIDEO_MAX else None
+    return Found(start, end - start, *kind, "boxes") if kind and 16 <= end - start <= VIDEO_MAX else None
 
 
 def asf(read, size, off):
@@ -123,23 +129,29 @@ def asf(read, size, off):
     return Found(off, n, "videos", "wmv", "header")
 
 
+SEGMENT = 0x18538067
+
+
+def _element(read, at: int):
+    """EBML: an id with its marker, then a length without; a length of all ones is unknown (whole length None)."""
+    b = read(at, 20)
+    name, a, _ = vint(b, True)
+    if name is None:
+        return None
+    n, w, unknown = vint(b[a:], False)
+    return name, a + w, None if n is None or unknown else a + w + n
+
+
 def ebml(read, size, off):
-    """At most four top elements, to the end of the segment."""
-    at = off
-    for _ in range(4):
-        if at >= min(size, off + VIDEO_MAX):
-            break
-        head = read(at, 20)
-        name, a, _ = vint(head, True)
-        if name is None:
-            break
-        n, b, unknown = vint(head[a:], False)
-        if n is None or unknown:
+    """At most four top elements, to the end of the segment; one of unknown length is no file."""
+    lengths, stop = [], min(size, off + VIDEO_MAX)
+    while len(lengths) < 4 and off + sum(lengths) < stop and (found := _element(read, off + sum(lengths))):
+        if found[2] is None:
             return None
-        at += a + b + n
-        if name == 0x18538067:
+        lengths.append(found[2])
+        if found[0] == SEGMENT:
             break
-    total = at - off
+    total = sum(lengths)
     if not 32 <= total <= VIDEO_MAX:
         return None
     return Found(off, total, "videos", "webm" if b"webm" in read(off, min(4096, total)) else "mkv", "elements")
@@ -163,30 +175,16 @@ def zip_whole(read, size, off):
 
 
 def zip_member(read, size, off):
-    """(Found, content, whether its CRC holds or is 0) of a local header: stored or deflated, with its size in the header."""
+    """(Found, where its packed bytes begin, how many, codec, CRC) of a local header: stored or deflated, with its size in the header."""
     head = read(off, 30)
     if len(head) < 30:
         return None
     flags, method, crc, packed, n, extra = le(head[6:8]), le(head[8:10]), le(head[14:18]), le(head[18:22]), le(head[26:28]), le(head[28:30])
-    if flags & 8 or packed == 0 or method not in (0, 8) or not 0 < n <= 4096 or off + 30 + n + extra + packed > size:
-        return None
-    body = read(off + 30 + n + extra, packed)
-    if method == 8:
-        inflate = zlib.decompressobj(-15)
-        try:
-            body = inflate.decompress(body)
-        except zlib.error:
-            inflate = zlib.decompressobj(-15)
-            kept = bytearray()
-            for k in range(0, len(body), 512):  # what comes before the fault stays
-                try:
-                    kept += inflate.decompress(body[k : k + 512])
-                except zlib.error:
-                    break
-            body = bytes(kept)
-    good = crc == 0 or zlib.crc32(body) == crc
+    begin = off + 30 + n + extra
+    if flags & 8 or packed == 0 or method not in (0, 8) or not 0 < n <= 4096 or begin + packed > size:
+        return None
     name = read(off + 30, n).decode("utf-8", "replace")
-    return Found(off, 30 + n + extra + packed, "archives", "ok" if good else "crcfail", name), body, good
+    return Found(off, begin + packed - off, "archives", "member", name), begin, packed, "deflate" if method else "stored", crc
 
 
 def seven_zip(read, size, off):
@@ -201,18 +199,37 @@ def seven_zip(read, size, off):
 
 
 def gzip_stream(read, size, off):
-    """(Found, content): inflated as far as it goes; under 16 bytes are dropped."""
+    """Found: as far as it inflates, at most 512 MiB of input; under 16 bytes of output it is none. Output is counted, not kept."""
     head = read(off, 10)
     if len(head) < 10 or head[3] & 0xE0:
         return None
-    inflate, out, at = zlib.decompressobj(31), bytearray(), off
+    stream, total, at = Inflater(31), 0, off
     try:
-        while not inflate.eof and at < min(size, off + GZIP_INPUT):
+        while not stream.eof and at < min(size, off + GZIP_INPUT):
             data = read(at, STEP)
-            out += inflate.decompress(data)
             at += len(data)
+            total += sum(map(len, stream.feed(data)))
     except zlib.error:
         return None
-    if len(out) < 16:
+    if total < 16:
         return None
-    return Found(off, at - len(inflate.unused_data) - off, "archives", "gz", "whole" if inflate.eof else "truncated"), bytes(out)
+    return Found(off, at - stream.unused - off, "archives", "gz", "whole" if stream.eof else "truncated")
+
+
+class Inflater:
+    """Inflates in parts of at most 1 MiB, so what a few bytes blow up to is never held at once."""
+
+    def __init__(self, wbits: int):
+        self.inner, self.eof = zlib.decompressobj(wbits), False
+
+    @property
+    def unused(self) -> int:
+        return len(self.inner.unused_data)
+
+    def feed(self, data: bytes):
+        while data and not self.inner.eof:
+            yield self.inner.decompress(data, STEP)
+            data = self.inner.unconsumed_tail
+        while not self.inner.eof and (more := self.inner.decompress(b"", STEP)):
+            yield more
+        self.eof = self.inner.eof

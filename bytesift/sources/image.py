@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNKS = "image string, base long, own_len long, data binary"
-WINDOW, LOOKAHEAD, SPLIT = 16 << 20, 1 << 20, 128 << 20
+WINDOW, LOOKAHEAD, SPLIT, PART = 16 << 20, 1 << 20, 128 << 20, 16 << 20
 
 
 class Image:
@@ -26,10 +27,20 @@ class Image:
         self.size = self.file.size()
 
     def read(self, offset: int, length: int) -> bytes:
+        """What is there of the range, ``PART`` bytes at a time: it ends where the disk gives an error."""
         if offset < 0 or length <= 0 or offset >= self.size:
             return b""
-        self.file.seek(offset)
-        return self.file.read(min(length, self.size - offset))
+        length, out = min(length, self.size - offset), []
+        for at in range(0, length, PART):
+            try:
+                self.file.seek(offset + at)
+                data = self.file.read(min(PART, length - at))
+            except OSError:
+                break
+            out.append(data)
+            if len(data) < min(PART, length - at):
+                break
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 @lru_cache(maxsize=8)
@@ -137,3 +148,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size) of every file below a folder, by metadata only."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size")).orderBy("path")
+
+
+def tree(spark: SparkSession, folder: str, depth: int = 6) -> DataFrame:
+    """(path, name, level, is_dir, size, files) of what lies below a folder, ``path`` relative to it, down to ``depth`` folders deep.
+
+    Names are in order inside each folder: the rows are sorted by the path's parts. Folders without files aren't listed.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+    below = files(spark, folder).withColumn("parts", F.split(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""), f"^{re.escape(base)}/", ""), "/"))
+    levels = below.select("size", F.size("parts").alias("n"), "parts", F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(depth + 1)))).alias("k"))
+    rows = levels.groupBy(F.slice("parts", F.lit(1), F.col("k")).alias("parts"), (F.col("k") < F.col("n")).alias("is_dir")).agg(F.sum("size").alias("size"), F.count("*").alias("files"))
+    return rows.orderBy("parts").select(F.array_join("parts", "/").alias("path"), F.element_at("parts", -1).alias("name"), (F.size("parts") - 1).alias("level"), "is_dir", "size", "files")
