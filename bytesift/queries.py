@@ -61,21 +61,29 @@ def reason_names(spark, sf):
 
 
 @query(r"""
-SELECT page_id, CASE WHEN len(s) = 0 THEN 'unnamed' ELSE array_to_string(s, '/') END AS path FROM (
-  SELECT page_id, list_transform(list_filter(list_transform(string_split(regexp_replace(replace(url, '\', '/'), '^[A-Za-z]:', ''), '/'), lambda x: trim(trim(x, ' '), '.')), lambda x: x <> ''),
-    lambda x: substr(regexp_replace(x, '[<>:"|?*\x00-\x1f]', '_', 'g'), 1, 200)) AS s FROM pages)""")
+SELECT page_id, CASE WHEN coalesce(len(s), 0) = 0 THEN 'unnamed' ELSE array_to_string(s, '/') END AS path FROM (
+  SELECT page_id, list_transform(list_filter(list_transform(string_split(regexp_replace(replace(u, '\', '/'), '^[A-Za-z]:', ''), '/'), lambda x: trim(trim(x, ' ' || chr(9) || chr(10)), '.')), lambda x: x <> ''),
+    lambda x: substr(regexp_replace(x, '[<>:"|?*\x00-\x1f]', '_', 'g'), 1, 200)) AS s
+  FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'C:' || replace(url, '/', chr(9) || '\ .') END AS u FROM pages))""")
 def sanitized_paths(spark, sf):
-    """Page addresses as safe relative paths."""
-    return table(spark, sf, "pages").select("page_id", C.sanitized_path(F.col("url")).alias("path"))
+    """Page addresses as safe relative paths; some with drive letters, tabs and backslashes, some null."""
+    odd = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("C:"), F.replace(F.col("url"), F.lit("/"), F.lit("\t\\ ."))))
+    return table(spark, sf, "pages").select("page_id", C.sanitized_path(odd).alias("path"))
 
 
-@query(r"""
-SELECT c_custkey, CASE WHEN i = 0 THEN p ELSE left(p, length(p) - length(x)) || '__' || i || x END AS unique_path
-FROM (SELECT *, regexp_extract(p, '[^/.](\.[^./]*)$', 1) AS x FROM (SELECT c_custkey, p, row_number() OVER (PARTITION BY p ORDER BY c_custkey) - 1 AS i FROM (SELECT c_custkey, c_mktsegment || '/n' || (c_custkey // 7) || '.txt' AS p FROM customer)))""")
+_OWN = "c_mktsegment || '/n' || (c_custkey // 7) || CASE WHEN c_custkey % 7 = 3 THEN '__' || (c_custkey % 4) ELSE '' END || '.txt'"
+
+
+@query(f"""
+WITH p AS (SELECT c_custkey, {_OWN} AS p FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY c_custkey) - 1 AS i, regexp_extract(p, '[^/.](\\.[^./]*)$', 1) AS x FROM p),
+s AS (SELECT *, left(p, length(p) - length(x)) AS root FROM r),
+free AS (SELECT p, root, x, n, row_number() OVER (PARTITION BY p ORDER BY n) AS i FROM (SELECT DISTINCT p, root, x FROM s WHERE i > 0) CROSS JOIN range(1, 100) t(n) WHERE root || '__' || n || x NOT IN (SELECT p FROM p))
+SELECT c_custkey, CASE WHEN s.i = 0 THEN s.p ELSE s.root || '__' || free.n || s.x END AS unique_path FROM s LEFT JOIN free ON s.p = free.p AND s.i = free.i""")
 def unique_names(spark, sf):
-    """Colliding paths get numbered."""
-    rows = table(spark, sf, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("/n"), F.floor(F.col("c_custkey") / 7).cast("string"), F.lit(".txt")).alias("p"))
-    return names.unique_names(rows, "p", ["c_custkey"]).select("c_custkey", "unique_path")
+    """Colliding paths get numbered; some paths look numbered already, so the first numbers aren't always free."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(_OWN.replace("c_custkey // 7", "c_custkey div 7")).alias("p"))
+    return names.unique_names(rows, "p", ["c_custkey"], zone=F.floor(F.col("c_custkey") / 100)).select("c_custkey", "unique_path")
 
 
 @query("""SELECT o_orderkey, '0x' || lower(to_hex(o_orderkey * 4096)) AS offset_hex, lpad(lower(to_hex(o_orderkey * 4096)), 12, '0') AS padded FROM orders""")
@@ -92,11 +100,11 @@ def previews(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576)
-  WHEN n < 1099511627776 THEN printf('%.1f GiB', n / 1073741824) ELSE printf('%.1f TiB', n / 1099511627776) END AS size
-FROM (SELECT o_orderkey, (o_orderkey % 1000 + 1) * power(2, o_orderkey % 5 * 10)::DOUBLE AS n FROM orders)""")
+SELECT o_orderkey, CASE WHEN abs(n) < 1024 THEN printf('%.1f B', n) WHEN abs(n) < 1048576 THEN printf('%.1f KiB', n / 1024) WHEN abs(n) < 1073741824 THEN printf('%.1f MiB', n / 1048576)
+  WHEN abs(n) < 1099511627776 THEN printf('%.1f GiB', n / 1073741824) ELSE printf('%.1f TiB', n / 1099511627776) END AS size
+FROM (SELECT o_orderkey, (o_orderkey % 1000 + 1) * power(2, o_orderkey % 5 * 10)::DOUBLE * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS n FROM orders)""")
 def human_sizes(spark, sf):
-    n = (F.col("o_orderkey") % 1000 + 1) * F.pow(F.lit(2.0), F.col("o_orderkey") % 5 * 10)
+    n = (F.col("o_orderkey") % 1000 + 1) * F.pow(F.lit(2.0), F.col("o_orderkey") % 5 * 10) * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)
     return table(spark, sf, "orders").select("o_orderkey", C.human_size(n).alias("size"))
 
 
@@ -302,7 +310,7 @@ WITH u AS ({_USER}) SELECT user_id, event_id FROM u a WHERE event_type_ok AND NO
 def interval_anti_join(spark, sf):
     """Intervals that overlap none of another set."""
     u = _user(spark, sf)
-    return intervals.outside(u.where("ok"), u.where("NOT ok"), ["user_id"], "s", "e", width=1 << 24).select("user_id", "event_id")
+    return intervals.outside(u.where("ok"), u.where("NOT ok"), ["user_id"], "s", "e", zone=1 << 34).select("user_id", "event_id")
 
 
 @query(f"""
@@ -310,20 +318,24 @@ WITH u AS ({_USER}) SELECT a.user_id, a.event_id FROM u a WHERE EXISTS (SELECT 1
 def extent_restriction(spark, sf):
     """Offsets that lie in extents."""
     u = _user(spark, sf)
-    return intervals.within(u.where("event_id % 4 <> 0"), u.where("event_id % 4 = 0"), ["user_id"], "s", "s", "e", width=1 << 24).select("user_id", "event_id")
+    return intervals.within(u.where("event_id % 4 <> 0"), u.where("event_id % 4 = 0"), ["user_id"], "s", "s", "e", zone=1 << 34).select("user_id", "event_id")
 
 
 # --- joins, order, sets ----------------------------------------------------------------------------
 
 
-@query("""
-WITH RECURSIVE w AS (SELECT p_partkey AS entry, p_partkey // 2 AS up, p_name AS path FROM part UNION ALL
-  SELECT w.entry, p.p_partkey // 2, p.p_name || '/' || w.path FROM w JOIN part p ON p.p_partkey = w.up WHERE w.up NOT IN (0, 5))
-SELECT entry, path FROM w WHERE up IN (0, 5) OR NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = w.up)""")
+_NODES = "SELECT p_partkey AS off, p_partkey - CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE 0 END AS entry, p_name AS name, p_partkey // 2 AS parent FROM part"
+
+
+@query(f"""
+WITH RECURSIVE n AS ({_NODES}), i AS (SELECT * FROM n WHERE off IN (SELECT max(off) FROM n GROUP BY entry)),
+w AS (SELECT off, entry, parent AS up, name AS path FROM n UNION ALL
+  SELECT w.off, w.entry, i.parent, i.name || '/' || w.path FROM w JOIN i ON i.entry = w.up WHERE w.up NOT IN (0, 5))
+SELECT off, entry, path FROM w WHERE up IN (0, 5) OR NOT EXISTS (SELECT 1 FROM i WHERE i.entry = w.up)""")
 def resolved_paths(spark, sf):
-    """Paths by parents, part k under part k div 2."""
-    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("name"), F.floor(F.col("p_partkey") / 2).alias("parent"))
-    return names.resolve_paths(nodes).select("entry", "path")
+    """Paths by parents, part k under part k div 2; some records share an entry, of which the last is the ancestor."""
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("off"), F.expr("p_partkey - CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE 0 END").alias("entry"), F.col("p_name").alias("name"), F.floor(F.col("p_partkey") / 2).alias("parent"))
+    return names.resolve_paths(nodes, order="off").select("off", "entry", "path")
 
 
 @query("""
@@ -439,18 +451,16 @@ def language_counts(spark, sf):
     return aggregates.class_counts(rows, ["language"])
 
 
-@query(r"""SELECT doc_id, 'other' AS language FROM documents WHERE len(regexp_extract(coalesce(text, ''), '[\t\n\r\x20-\x7e]{160}[\t\n\r\x20-\x7e]*')) >= 600""")
-def kept_unknown(spark, sf):
-    """Long first runs, taken as of no language, are kept as ``other``; ``kept_runs`` decides on every run."""
-    run = F.element_at(F.concat(text.text_runs(_bytes("text")), F.array(F.lit(""))), 1)
-    rows = table(spark, sf, "documents").select("doc_id", run.alias("run"))
-    none = F.struct(F.lit(None).cast("string").alias("language"))
-    return rows.select("doc_id", text.kept_language(none, F.length("run")).alias("language")).where("language IS NOT NULL")
+_KEPT = 600
 
 
-@query()
-def kept_runs(spark, sf):
-    """Every run of a document by the reference's rule: its language, or ``other`` if it is long and of none (tested against brute force)."""
+@query(rf"""
+WITH r AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\t\n\r\x20-\x7e]{{160}}[\t\n\r\x20-\x7e]*') AS runs FROM documents),
+e AS (SELECT doc_id, (i - 1)::INT AS run_no, runs[i] AS run FROM (SELECT doc_id, runs, unnest(range(1, len(runs) + 1)) AS i FROM r)),
+s AS (SELECT doc_id, run_no, length(run)::BIGINT AS length, {_sql_rules('run')} AS b FROM e)
+SELECT * FROM (SELECT doc_id, run_no, length, CASE WHEN b.score >= {LEAST} THEN b.language WHEN length >= {_KEPT} THEN 'other' END AS language FROM s) WHERE language IS NOT NULL""")
+def kept_unknown(spark, sf):
+    """Every printable run of every document: its language, or ``other`` if it is long and of none."""
     rows = text.run_rows(table(spark, sf, "documents").select("doc_id", _bytes("text").alias("d")), "d")
     language = text.kept_language(text.classified(F.col("run")), F.col("length"))
     return rows.select("doc_id", "run_no", "length", language.alias("language")).where("language IS NOT NULL")
@@ -458,5 +468,5 @@ def kept_runs(spark, sf):
 
 @query()
 def crc_tags(spark, sf):
-    """crc32 of every text, for checks of carved members (tested against zlib)."""
+    """crc32 of every text, for checks of carved members. Without SQL: the query is tested against zlib over a whole table."""
     return table(spark, sf, "documents").select("doc_id", F.crc32(_bytes("text")).alias("crc"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bytesift.functions import carvers, columns, records
+from bytesift.functions import blocks, carvers, columns, records
 from bytesift.operators import aggregates, intervals, names, text
 
 
@@ -25,7 +25,7 @@ def test_reasons(spark, reason, want):
     assert one(spark, columns.reason_names, reason, "long") == want
 
 
-@pytest.mark.parametrize("path,want", [("C:\\a\\..\\b", "a/b"), (".gitignore", "gitignore"), ("a<b>.txt", "a_b_.txt"), ("", "unnamed"), ("...", "unnamed"), (" a /x" + "y" * 300, "a/x" + "y" * 199)])
+@pytest.mark.parametrize("path,want", [("C:\\a\\..\\b", "a/b"), (".gitignore", "gitignore"), ("a<b>.txt", "a_b_.txt"), ("", "unnamed"), ("...", "unnamed"), (" a /x" + "y" * 300, "a/x" + "y" * 199), ("a\t/\u00a0b\u3000", "a/b"), (None, "unnamed")])
 def test_paths(spark, path, want):
     assert one(spark, columns.sanitized_path, path) == want
 
@@ -33,12 +33,13 @@ def test_paths(spark, path, want):
 def test_scalars(spark):
     assert one(spark, columns.human_size, 1536, "long") == "1.5 KiB"
     assert one(spark, lambda c: F.crc32(c), b"hello", "binary") == zlib.crc32(b"hello")
+    assert one(spark, columns.human_size, -5000, "long") == "-4.9 KiB" and one(spark, columns.human_size, -3, "long") == "-3.0 B"
     for data, bits in ((b"", 0), (b"aabb", 1), (bytes(range(256)), 8)):
-        assert one(spark, columns.entropy, data, "binary") == pytest.approx(bits)
+        assert blocks.entropy_bits(data) == pytest.approx(bits)
+    assert one(spark, lambda c: columns.byte_count(c, 0), b"\x00a\x00\xff", "binary") == 2 and one(spark, lambda c: columns.byte_count(c, 255), b"\xff.", "binary") == 1
     df = spark.createDataFrame([(1, b"aabb"), (2, b""), (3, bytes(range(256)))], "k long, d binary")
     got = {r["k"]: r["entropy"] for r in aggregates.byte_entropy(df, "k", "d").collect()}
     assert got == {1: pytest.approx(1), 2: 0, 3: pytest.approx(8)}
-    assert one(spark, lambda c: columns.unsigned_le(c, 1, 3), b"\xff\x01\x02\x03", "binary") == 0x030201
     assert one(spark, columns.latin1, bytes(range(256)), "binary") == bytes(range(256)).decode("latin-1")
 
 
@@ -127,8 +128,11 @@ def test_greedy_and_outside(spark):
     left, right = df.where("k % 2 = 0"), df.where("k % 9 = 1")
     holes = [(s, e) for k, s, e in rows if k % 9 == 1]
     want = [k for k, s, e in rows if k % 2 == 0 and all(e <= a or b <= s for a, b in holes)]
-    assert sorted(r["k"] for r in intervals.outside(left.unionByName(left), right, ["g"], "s", "e", width=16).collect()) == sorted(want * 2)
+    assert sorted(r["k"] for r in intervals.outside(left.unionByName(left), right, ["g"], "s", "e", zone=16).collect()) == sorted(want * 2)
     points = df.select("g", "k", "s")
+    inside = [k for k, s, _ in rows if any(a <= s < b for a, b in holes)]
+    for zone in (16, 1 << 30):
+        assert sorted(r["k"] for r in intervals.within(points, right, ["g"], "s", "s", "e", zone).collect()) == inside
     assert intervals.within(points, right.limit(0), ["g"], "s", "s", "e").count() == 200
 
 
@@ -140,6 +144,62 @@ def test_paths_of_records(spark):
     assert got[15].endswith("y/x") and got[179].count("/") == 63 and got[179].endswith("d78/d79") and got[150].startswith("d0/d1/")
 
 
+def test_the_last_record_of_an_entry_is_the_ancestor(spark):
+    rows = [(10, "old", 5, 1), (10, "new", 5, 2), (11, "child", 10, 3), (12, "one", 11, 4), (12, "two", 10, 5), (13, "leaf", 12, 6)]
+    df = spark.createDataFrame(rows, "entry long, name string, parent long, off long")
+    got = {r["off"]: r["path"] for r in names.resolve_paths(df, order="off").collect()}
+    assert got == {1: "old", 2: "new", 3: "new/child", 4: "new/child/one", 5: "new/two", 6: "new/two/leaf"}
+
+
+@pytest.mark.parametrize("zone", [1, 3, 1000])
+def test_unique_names_never_clash(spark, zone):
+    paths = ["d/a.txt", "d/a.txt", "d/a__1.txt", "d/a.txt", "d/a__3.txt", "d/a__1.txt", None, "unnamed", "x", "x", "d/a__03.txt", "d/a.txt"]
+    rng = random.Random(zone)
+    paths += [f"z{'__' * (n > 0)}{n or ''}.b" for n in (rng.randrange(4) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(paths)), "k long, p string").repartition(3)
+    got = {r["k"]: r["u"] for r in names.unique_names(df, "p", ["k"], "u", F.floor(F.col("k") / zone)).collect()}
+    assert len(set(got.values())) == len(paths)
+    firsts = {p or "unnamed": k for k, p in reversed(list(enumerate(paths)))}
+    assert all(got[k] == p for p, k in firsts.items())
+    assert [got[k] for k in range(12)] == ["d/a.txt", "d/a__2.txt", "d/a__1.txt", "d/a__4.txt", "d/a__3.txt", "d/a__1__1.txt", "unnamed", "unnamed__1", "x", "x__1", "d/a__03.txt", "d/a__5.txt"]
+
+
+def test_sizes_of_records():
+    def sizes(**how):
+        r = records.file_record(B.record("n", **how))
+        return r["real_size"], r["resident"], r["runs"]
+
+    assert sizes(content=b"hello", size=3) == (5, b"hello", []) and sizes(content=b"hello", size=9) == (9, b"hello", [])
+    assert sizes(runs=bytes([0x11, 1, 4]), size=0)[0] == 0
+    both = records.file_record(B.record("n", content=b"kept", runs=bytes([0x11, 1, 4]), size=700))
+    assert both["resident"] == b"kept" and both["runs"] == [(1, 4)] and both["real_size"] == 700
+    cut = bytearray(B.record("n", content=b"beyond"))
+    end = 0x38 + records.le(cut[0x3C:0x40])
+    cut[0x18:0x1C] = struct.pack("<I", end + records.le(cut[end + 4 : end + 8]))  # what follows the name isn't in use
+    assert records.file_record(bytes(cut))["resident"] is None
+
+
+def test_a_bomb_is_never_held(monkeypatch):
+    bomb = zlib.compressobj(9, zlib.DEFLATED, 31)
+    data = b"".join(bomb.compress(bytes(1 << 20)) for _ in range(64)) + bomb.flush()
+    parts = [len(p) for p in carvers.Inflater(31).feed(data)]
+    assert sum(parts) == 64 << 20 and max(parts) <= carvers.STEP
+    found = carvers.gzip_stream(lambda at, n: data[at : at + n], len(data), 0)
+    assert (found.length, found.method) == (len(data), "whole")
+
+
+def test_the_text_that_a_pattern_needs():
+    assert [text.needed(p) for p in (r"\bfn\s+main\s*\(", "a|b", "(?:x)?", r"#\[derive\(", "ab+c")] == ["main", "", "", "#[derive(", "a"]
+
+
+def test_patterns_are_in_the_plan_once(spark):
+    from bytesift.functions.rules import LANGUAGES
+
+    df = spark.range(1).select(F.col("id").cast("string").alias("t")).select(text.classified(F.col("t")).alias("c")).select("c.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= sum(len(s) + len(w) for _, _, s, w in LANGUAGES)
+
+
 def test_picked_names(spark):
     kind = "array<struct<ns:int,name:string,parent:bigint>>"
     pick = lambda v: one(spark, lambda c: names.picked_name(c)["name"], v, kind)

@@ -52,7 +52,7 @@ def test_every_run_is_classified_and_kept(spark, tmp_path):
     prose = "nothing of any kind " * 40
     texts = [None, "", prose, code, prose[:200], prose[:200] + "\u00e9" + prose, code + "\u00e9" + prose[:300] + "\x00" + code * 4, prose[:100] + "\u00e9" + code, prose + "\u00e9" + prose]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["doc_id"], r["run_no"]): (r["length"], r["language"]) for r in QUERIES["kept_runs"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["run_no"]): (r["length"], r["language"]) for r in QUERIES["kept_unknown"](spark, str(tmp_path)).collect()}
     want = {}
     for k, t in enumerate(texts):
         for n, run in enumerate(re.findall(r"[\t\n\r\x20-\x7e]{160,}", (t or "").encode().decode("latin1"))):
@@ -65,3 +65,27 @@ def test_every_run_is_classified_and_kept(spark, tmp_path):
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_crc_tags_equal_zlib(spark):
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["crc"] for r in QUERIES["crc_tags"](spark, SF).collect()}
+    assert got == {k: zlib.crc32((t or "").encode()) for k, t in texts.items()}
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; from bytesift.queries import QUERIES, ORACLES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, timeout=120).returncode == 0
+    left = copy / "corpus_pipeline.py"
+    left.write_text("import bytesift.llm\n")  # only one of the two was deleted
+    assert subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, timeout=120).returncode == 0
