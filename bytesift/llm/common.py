@@ -1,72 +1,29 @@
-"""Helpers shared by the training-data operators: shared storage, text rules, components."""
+"""Helpers shared by the training-data operators: workers' caches, text rules, components."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import tempfile
-import uuid
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from bytesift.storage import materialise, release
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="bytesift-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def with_fields(docs: DataFrame, made: Column, fields: dict[str, Column | None]) -> DataFrame:
+    """``docs`` with fields of the struct ``made``, worked out once: a name's own expression over ``made`` if one is given.
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/bytesift/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, label: str, compression: str = "zstd", partition_by: Iterable[str] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    writer = df.write.option("compression", compression)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later plan reads."""
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/bytesift/" in path:
-            delete_path(df.sparkSession, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            delete_path(spark, path)
-        except Exception:  # the session has ended; nothing can be deleted through it
-            return
+    Rows ride in a struct, so no column's name clashes with a helper's; columns of the fields' names, whatever their case, are replaced.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), made.alias("made"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in fields]
+    return rows.select(*kept, *[(F.col(f"made.{n}") if c is None else c).alias(n) for n, c in fields.items()])
 
 
 _worker: dict = {}
@@ -179,5 +136,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(labels)
         labels = jumped.select("node", "label")
         if not changed:
+            release(pairs)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import materialise, partitions, text_slices
+from bytesift.llm.common import partitions, text_slices
+from bytesift.storage import materialise
 
 K, EPSILON = 5, 1e-4
 BATCH_TOKENS = 3_000_000

@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import materialise, new_path, partitions, text_slices
+from bytesift.llm.common import partitions, text_slices
 from bytesift.llm.tokens import word_ids, word_path
+from bytesift.storage import materialise, new_path
 
 MAGIC = b"DACIDS01"
 BLOCK_WORDS = 8
