@@ -1,9 +1,13 @@
-"""Embedding near-duplicates by exact passes over pairs of blocks.
+"""Embedding near-duplicates by sorted projection passes.
 
-Distinct vectors are dealt to blocks of at most about ``BLOCK`` rows, and every pair of blocks of one
-length is compared whole by products of matrices: in single precision first, in double wherever that can't tell. Links
-are united to components in the tasks that find them, then counted exactly inside each
-component, block by block. No pair of vectors is passed over, so the work grows with the square of the distinct vectors.
+In each pass vectors are ordered by the signs of random projections, read as one binary word, and each is
+compared with the ``WINDOW`` vectors after it. Verified links of all passes are kept as pairs. Passes go
+on, a round at a time, until the rounds' shrinking yield says that hardly a link is left to find.
+
+Where a window is full of vectors nearer than ``DENSE``, it can't hold all that matters: such vectors form
+dense regions, whose rows are compared whole, block by block, by products of matrices in single precision first, in
+double wherever that can't tell. So no vector has a cap on its partners, and only dense regions cost more than
+their share. Links are united to components over both.
 """
 
 from __future__ import annotations
@@ -13,11 +17,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import connected_components, local_components, materialise, partitions
+from bytesift.llm.common import connected_components, local_components, partitions
+from bytesift.storage import materialise, release
+
+COSINE, BITS, WINDOW = 0.95, 48, 32
+#: A window at least half of which is as near as this is crowded.
+DENSE = 0.7
+#: Passes in a round; share of the links found that may be left when no further round is run.
+PASSES, LEFT = 6, 0.005
+#: Rows of a block of a dense region, fewer for long vectors; rows compared with a block at once.
+BLOCK, NUMBERS, SLAB = 2048, 1 << 18, 256
+
 
-COSINE, BLOCK, CHUNK = 0.95, 8192, 512
-#: Numbers in a block, which long vectors have fewer rows for; rows compared with a block at once.
-NUMBERS, SLAB = 1 << 22, 256
+def projection_keys(vectors: np.ndarray, first: int, passes: int, bits: int = BITS, seed: int = 11) -> np.ndarray:
+    """(vectors x passes): for passes ``first`` and on, the signs of ``bits`` projections, the first as the highest bit."""
+    out = np.zeros((len(vectors), passes), dtype=np.int64)
+    for p in range(passes):
+        planes = np.random.default_rng([seed, first + p, vectors.shape[1]]).standard_normal((vectors.shape[1], bits))
+        for b, row in enumerate((vectors @ planes > 0).T):
+            out[:, p] |= row.astype(np.int64) << (bits - 1 - b)
+    return out
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -27,102 +46,155 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def block_links(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect what all pairs of ``x`` with ``y`` (unit rows of the nodes m and n) connect; pairs already connected are left out."""
+def window_links(nodes: np.ndarray, x: np.ndarray, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) of unit rows in order with at most ``window`` between them, and stars (c, d) of the crowded ones.
+
+    A row is crowded if half its window, forwards or backwards, is nearer than ``DENSE``; so are the rows that
+    crowd it. Links between two crowded rows are left out, as their region is compared whole.
+    """
+    n = len(nodes)
+    near = np.zeros((min(window, n - 1), n), dtype=np.float64)
+    for d in range(1, len(near) + 1):
+        near[d - 1, :-d] = np.einsum("ij,ij->i", x[:-d], x[d:])
+    close = near >= DENSE
+    behind = np.zeros(n, np.int64)
+    for d in range(1, len(near) + 1):
+        behind[d:] += close[d - 1, :-d]
+    crowded = (close.sum(axis=0) >= window // 2) | (behind >= window // 2)
+    d, i = np.nonzero(close)
+    j = i + d + 1
+    among = crowded[i] | crowded[j]
+    stars = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if among.any():
+        held, low = local_components(i[among], j[among])
+        crowded[held] = True
+        stars = nodes[held], nodes[low]
+    linked = (near[d, i] >= cosine) & ~(crowded[i] & crowded[j])
+    return nodes[i[linked]], nodes[j[linked]], *stars
+
+
+def round_links(distinct: DataFrame, first: int, passes: int, rows: int, window: int, cosine: float) -> DataFrame:
+    """(a, b, dense) of passes ``first`` to before ``first + passes``: links, and stars of crowded rows (dense)."""
+
+    @F.pandas_udf("array<long>")
+    def keys(vs: pd.Series) -> pd.Series:
+        out: list = [None] * len(vs)
+        dims = vs.map(len).to_numpy()
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            found = projection_keys(unit(np.stack(vs.iloc[at].tolist())), first, passes)
+            for i, row in zip(at.tolist(), found, strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    def compare(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            group = pdf["pass"].to_numpy(np.int64) * (1 << 32) + pdf["dim"].to_numpy(np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                a, b, c, d = window_links(pdf["node"].to_numpy(np.int64)[i:j], unit(np.stack(pdf["v"].iloc[i:j].tolist())), window, cosine)
+                yield pd.DataFrame({"a": np.r_[np.minimum(a, b), c], "b": np.r_[np.maximum(a, b), d], "dense": np.repeat([False, True], [len(a), len(c)])})
+            held = pdf.iloc[max(int(edges[-2]), len(pdf) - window) :]
+
+    dealt = distinct.select("node", "dim", "v", F.posexplode(keys("v")).alias("pass", "key"))
+    # a partition's last rows don't meet the next one's first: few partitions over few rows
+    parts = max(1, min(partitions(distinct.sparkSession), rows * passes // (64 * window)))
+    ordered = dealt.repartitionByRange(parts, "pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
+    return ordered.select("pass", "dim", "node", "v").mapInPandas(compare, "a long, b long, dense boolean").distinct()
+
+
+def all_passes(distinct: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, left: float = LEFT) -> tuple[DataFrame, DataFrame]:
+    """(links a < b, stars of crowded rows) of ``distinct(node, dim, v)`` by rounds of passes.
+
+    If a round finds the share r of what the round before it found, about r / (1 - r) of its yield is left: rounds
+    end when that is at most ``left`` of all links so far, after two rounds at least.
+    """
+    rows = distinct.count()
+    found, before, yields = None, 0, []
+    while True:
+        new = round_links(distinct, passes * len(yields), passes, rows, window, cosine)
+        both = materialise(new if found is None else found.unionByName(new).distinct(), "pass-links")
+        if found is not None:
+            release(found)
+        found, total = both, both.where("not dense").count()
+        yields.append(total - before)
+        before = total
+        if len(yields) > 1:
+            ratio = min(yields[-1] / max(1, yields[-2]), 0.95)
+            if yields[-1] * ratio / (1 - ratio) <= left * total:
+                break
+    return found.where("not dense").select("a", "b"), found.where("dense").select("a", "b")
+
+
+def block_links(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, mx: np.ndarray, my: np.ndarray, cosine: float) -> pd.DataFrame:
+    """(node, links, low) of all pairs of ``x`` with ``y`` (unit rows of the nodes m and n, standing for mx and my vectors).
+
+    links: how many vectors a node links with here; low: a node that stands for its component here.
+    Where m and n are one block, a node isn't its own partner.
+    """
+    same = m is n
     low_x, low_y = x.astype(np.float32), y.astype(np.float32)
     slack = (x.shape[1] + 8) * 2.0**-22  # beyond what single precision can be wrong by
     nodes = np.unique(np.concatenate([m, n]))
     at_m, at_n = np.searchsorted(nodes, m), np.searchsorted(nodes, n)
-    label = np.arange(len(nodes))
+    label, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
     for s in range(0, len(x), SLAB):
         product = low_x[s : s + SLAB] @ low_y.T
-        i, j = np.nonzero(product >= cosine - slack)
+        near = product >= cosine - slack
+        i, j = np.nonzero(near & (product < cosine + slack))
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            near[p, q] = np.einsum("ij,ij->i", x[s + p], y[q]) >= cosine
+        if same:
+            near[np.arange(len(near)), s + np.arange(len(near))] = False
+        links[at_m[s : s + SLAB]] += near @ my
+        if not same:
+            links[at_n] += mx[s : s + SLAB] @ near
+        i, j = np.nonzero(near)
         apart = label[at_m[s + i]] != label[at_n[j]]
-        i, j = i[apart], j[apart]
-        unsure = np.flatnonzero(product[i, j] < cosine + slack)
-        keep = np.ones(len(i), dtype=bool)
-        for k in range(0, len(unsure), 1 << 16):
-            part = unsure[k : k + (1 << 16)]
-            keep[part] = np.einsum("ij,ij->i", x[s + i[part]], y[j[part]]) >= cosine
-        if keep.any():
-            held, low = local_components(label[at_m[s + i[keep]]], label[at_n[j[keep]]])
+        if apart.any():
+            held, low = local_components(label[at_m[s + i[apart]]], label[at_n[j[apart]]])
             up = np.arange(len(nodes))
             up[held] = low
             label = up[label]
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
-def all_links(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of ``distinct(node, dim, v)`` that connect all pairs of at least ``cosine``; no pairs of a group are listed."""
-    kind = "<f4" if distinct.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack(pdf["v"].tolist()).astype(kind)
-        return pdf.head(1)[["dim", "k", "c"]].assign(nodes=pdf["node"].to_numpy("<i8").tobytes(), vectors=vectors.tobytes())
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, sides = int(pdf["dim"].iloc[0]), []
-        for nodes, vectors in zip(pdf["nodes"], pdf["vectors"], strict=True):
-            sides.append((unit(np.frombuffer(vectors, kind).reshape(-1, dim)), np.frombuffer(nodes, "<i8").astype(np.int64)))
-        (x, m), (y, n) = sides[0], sides[-1]  # a block with itself is one row
-        a, b = block_links(x, y, m, n, cosine)
-        return pd.DataFrame({"a": a, "b": b})
+    return pd.DataFrame({"node": nodes, "links": links, "low": nodes[label]})[links > 0]
 
-    rows = F.least(F.lit(block), F.greatest(F.lit(64), F.floor(F.lit(NUMBERS) / F.col("dim"))))
-    sizes = distinct.groupBy("dim").agg(F.count("*").alias("size")).select("dim", F.ceil(F.col("size") / rows).cast("int").alias("k"))
-    cut = distinct.select("node", "dim", "v").join(F.broadcast(sizes), "dim").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    packed = materialise(cut.groupBy("dim", "k", "c").applyInPandas(pack, "dim int, k int, c int, nodes binary, vectors binary"), "blocks")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least("c", x).alias("i"), F.greatest("c", x).alias("j")))
-    dealt = packed.select("dim", "nodes", "vectors", F.explode(pairs).alias("p")).select("dim", "nodes", "vectors", "p.i", "p.j")
-    return dealt.repartition(partitions(distinct.sparkSession), "dim", "i", "j").groupBy("dim", "i", "j").applyInPandas(compare, "a long, b long")
 
+def region_links(members: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """(node, links, low): what each node links with in its region, for ``members(region, node, mult, v, dim)``, once for each pair of blocks.
 
-def count_links(members: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
-    """(node, links): for ``members(component, node, mult, v, dim)``, how many vectors each links with in its component.
-
-    A component of m vectors is cut into chunks of about ``chunk``; each pair of chunks is one small
-    product of matrices, wherever it lands, so a large component spreads over all tasks.
+    A region is cut into blocks; each pair of blocks is one row wherever it lands, so a region of any
+    size spreads over all tasks, and a block's vectors are sent once for each block it meets.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
-    cut = members.join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least("c", x).alias("i"), F.greatest("c", x).alias("j")))
-    dealt = cut.select("component", "node", "mult", "v", "dim", "c", F.explode(pairs).alias("p")).select("*", "p.i", "p.j").drop("p")
-
-    def count(batches):
-        def of(part: pd.DataFrame) -> pd.DataFrame:
-            x, mult, c = unit(np.stack(part["v"].tolist())), part["mult"].to_numpy(np.int64), part["c"].to_numpy()
-            i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-            rows, cols = np.flatnonzero(c == i), np.flatnonzero(c == j)
-            near = x[rows] @ x[cols].T >= cosine
-            if i == j:
-                np.fill_diagonal(near, False)
-                return pd.DataFrame({"node": part["node"].to_numpy()[rows], "links": near @ mult[cols]})
-            return pd.DataFrame({"node": part["node"].to_numpy()[np.r_[rows, cols]], "links": np.r_[near @ mult[cols], mult[rows] @ near]})
 
-        held = None
+    def compare(batches):
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            key = pdf[["component", "i", "j", "dim"]].to_numpy()
-            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True]).tolist()
-            out = [of(pdf.iloc[a:b]) for a, b in zip(edges[:-2], edges[1:-1], strict=True)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-            held = pdf.iloc[edges[-2] :]
-        if held is not None and len(held):
-            yield of(held)
-
-    ordered = dealt.repartition(partitions(members.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "dim")
-    found = ordered.mapInPandas(count, "node long, links long")
-    return found.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
+            for dim, blocks in zip(pdf["dim"], pdf["blocks"], strict=True):
+                sides = [(unit(np.asarray(b["flat"], np.float64).reshape(-1, dim)), np.asarray(b["nodes"], np.int64), np.asarray(b["mults"], np.int64)) for b in blocks]
+                (x, m, mx), (y, n, my) = sides[0], sides[-1]  # a block with itself is one row
+                yield block_links(x, y, m, n, mx, my, cosine)
+
+    rows = F.least(F.lit(block), F.greatest(F.lit(64), F.floor(F.lit(NUMBERS) / F.max("dim"))))
+    sizes = members.groupBy("region").agg(F.ceil(F.count("*") / rows).cast("int").alias("k")).withColumnRenamed("region", "of")
+    cut = members.join(sizes, F.col("region") == F.col("of")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    gathered = cut.groupBy("region", "dim", "k", "c").agg(F.collect_list(F.struct("node", "mult", "v")).alias("l"))  # about ``block`` rows
+    packed = gathered.select("region", "dim", "k", "c", F.transform("l", lambda r: r["node"]).alias("nodes"), F.transform("l", lambda r: r["mult"]).alias("mults"), F.flatten(F.transform("l", lambda r: r["v"])).alias("flat"))
+    packed = materialise(packed, "region-blocks")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
+    dealt = packed.select("region", "dim", F.struct("c", "nodes", "mults", "flat").alias("block"), F.explode(pairs).alias("p"))
+    met = dealt.groupBy("region", "dim", "p").agg(F.collect_list("block").alias("blocks"))  # one or two
+    return met.select("dim", "blocks").mapInPandas(compare, "node long, links long, low long")
+
+
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, left: float = LEFT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row, linking pairs with cosine of at least ``cosine``.
 
     A vector that is null, empty or zero, or holds null or non-finite components, links with nothing;
     nor do vectors of different lengths. Exact copies are compared once and counted each. A null
-    vec_id stays null. Other columns, labels too, are not read. An empty table: an empty result.
+    vec_id stays null and isn't kept; it names no component unless all its ids are null. Other columns, labels too, are not read.
+    An empty table: an empty result.
     """
     v = F.col("embedding")
     usable = v.isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -130,18 +202,29 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumns({"h": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "g": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))})
     distinct = rows.where(F.col("v").isNotNull()).groupBy("h", "g").agg(F.count("*").alias("mult"), F.min("vec_id").alias("low"), F.first("v").alias("v"))
     distinct = materialise(distinct.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node")), "vectors")
-    groups = connected_components(all_links(distinct, cosine)).select(F.col("node").alias("n"), "component")
-    members = materialise(distinct.join(groups, F.col("node") == F.col("n")).select("component", "node", "mult", "v", "dim", "low"), "members")
-    links = count_links(members.drop("low"), cosine).withColumnRenamed("node", "m")
-    lowest = members.groupBy("component").agg(F.min("low").alias("component_low")).withColumnRenamed("component", "of")
-    named = members.join(lowest, F.col("component") == F.col("of")).select(F.col("node").alias("n"), "component_low")
+    links, stars = all_passes(distinct, cosine, passes, window, left)
+    regions = connected_components(stars).select(F.col("node").alias("r"), F.col("component").alias("region"))
+    members = distinct.join(regions, F.col("node") == F.col("r")).select("region", "node", "mult", "v", "dim")
+    inside = materialise(region_links(members, cosine), "region-links")
+    # links of the passes whose two ends came to lie in one region are counted there already
+    side = regions.select(F.col("r").alias("rb"), F.col("region").alias("region_b"))
+    sparse = links.join(regions, F.col("a") == F.col("r"), "left").join(side, F.col("b") == F.col("rb"), "left")
+    sparse = materialise(sparse.where("region IS NULL OR region_b IS NULL OR region <> region_b").select("a", "b"), "links")
+    both = sparse.unionByName(sparse.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weights = distinct.select(F.col("node").alias("w"), "mult")
+    counted = both.join(weights, F.col("b") == F.col("w")).select(F.col("a").alias("m"), F.col("mult").alias("links"))
+    counted = counted.unionByName(inside.select(F.col("node").alias("m"), "links")).groupBy("m").agg(F.sum("links").alias("links"))
+    groups = connected_components(sparse.unionByName(inside.select(F.col("node").alias("a"), F.col("low").alias("b"))))
+    named = distinct.select("node", "low").join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_low")).withColumnRenamed("component", "of")
+    named = named.join(lowest, F.col("component") == F.col("of")).select("n", "component_low")
     per = (
         distinct.select("h", "g", "mult", "low", "node")
         .join(named, F.col("node") == F.col("n"), "left")
-        .join(links, F.col("node") == F.col("m"), "left")
+        .join(counted, F.col("node") == F.col("m"), "left")
         .select(F.col("h").alias("h2"), F.col("g").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_low", "low").alias("component_id"))
     )
     per = materialise(per, "per-vector")
     out = rows.select("vec_id", "h", "g").join(per, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
