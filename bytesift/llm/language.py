@@ -8,23 +8,27 @@ Arrays have features as rows and windows as columns, so a time step is a few cal
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import crc_bucket_col, materialise, release
+from bytesift.llm.common import crc_bucket_col, with_fields
+from bytesift.storage import materialise, release
 
 SPAN, HIDDEN, PAD = 64, 8, 256
 #: Windows that go through the network at once.
 WIDE = 4096
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Numerals such as a half or a Roman eight are no letters."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Net:
     """For each direction: table (3H x 257, the input's share of the gates r, z, n), u (3H x H), bias (H x 1) of the candidate's recurrent share."""
@@ -170,12 +174,13 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 220, b
     label = np.array([names.index(v) for v in langs], dtype=np.int64)[of] if len(of) else np.zeros(0, np.int64)
     rng = np.random.default_rng(seed)
     by = [np.flatnonzero(label == k) for k in range(len(names))]
-    by = [rng.permutation(b)[: windows // len(names)] for b in by if len(b)]
+    by = [rng.permutation(b)[: max(1, windows // len(names))] for b in by if len(b)]
     if len(names) < 2 or len(by) < 2:
         return net
     m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(b, batch // len(by)) for b in by])
+        few = by if len(by) <= batch else [by[k] for k in rng.choice(len(by), batch, replace=False)]
+        pick = np.concatenate([rng.choice(b, batch // len(few)) for b in few])
         _, grads = gradients(net, rows[pick], label[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         lr = rate * min(1, 2 * (1 - step / (steps + 1)))
@@ -187,25 +192,29 @@ def train(texts: list[str], langs: list[str], seed: int = 7, steps: int = 220, b
     return net
 
 
-def training_rows(docs: DataFrame, text: str = "text", per_language: int = 250, longest: int = 60_000) -> tuple[list[str], list[str]]:
-    """(texts, languages): of each of the 256 most frequent languages at most so many rows, those whose ids hash lowest.
+def training_rows(docs: DataFrame, text: str = "text", per_language: int = 250, most_rows: int = 10_000, longest: int = 20_000) -> tuple[list[str], list[str]]:
+    """(texts, languages): of each language at most ``per_language`` rows, those whose ids hash lowest, and ``most_rows`` in all.
 
-    Only rows with a language whose crc32(doc_id as text) mod 3 is not 1; empty texts and those over ``longest``
-    characters aren't learned from and take no other row's place.
+    With so many languages that their rows would be more than ``most_rows``, each gets fewer, one at least; only languages beyond
+    the ``most_rows`` most frequent get none. Only rows with a language whose crc32(doc_id as text) mod 3 is not 1;
+    empty texts and those over ``longest`` characters aren't learned from and take no other row's place; a
+    row that repeats counts once. Two scans of ``docs``, whatever the number of languages.
     """
     t = F.length(text)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket_col("doc_id", 3) != 1) & (t > 0) & (t <= longest))
-    learnable = materialise(usable.select("doc_id", "lang"), "learnable")
-    names = [r["lang"] for r in learnable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    picked = None
-    for name in names:
-        few = learnable.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        picked = few if picked is None else picked.unionByName(few)
-    if picked is None:
-        return [], []
-    ids = picked.distinct().withColumnRenamed("lang", "as_lang")
-    rows = usable.select("doc_id", "lang", F.col(text).alias("t")).join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("as_lang")).select("doc_id", "lang", "t").collect()
+    usable = usable.select("doc_id", "lang", F.xxhash64(text).alias("mark"), F.col(text).alias("t"))
+    learnable = materialise(usable.select("doc_id", "lang", "mark", F.xxhash64("doc_id").alias("place")), "learnable")
+    counts = learnable.groupBy("lang").agg(F.count("*").alias("n"))
+    names = materialise(counts.orderBy(F.desc("n"), "lang").limit(most_rows), "languages")
+    each = max(1, min(per_language, most_rows // max(1, names.count())))
+    # the lowest hashes hold three times the rows that are wanted, so what is ranked is small
+    share = F.least(F.lit(1.0), F.lit(3.0 * each + 100) / F.col("n"))
+    low = learnable.join(names, "lang").where(F.col("place") <= (share * 2.0**64 - 2.0**63)).select("lang", "doc_id", "mark", "place").distinct()
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "mark")))
+    ids = ranked.where(F.col("rank") <= each).select("lang", "doc_id", "mark")
+    rows = usable.join(F.broadcast(ids), ["lang", "doc_id", "mark"]).groupBy("lang", "doc_id", "mark").agg(F.min("t").alias("t")).collect()
     release(learnable)
+    release(names)
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["t"]))
     return [r["t"] for r in rows], [r["lang"] for r in rows]
 
@@ -223,7 +232,7 @@ def predict(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         n = held.value
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if n.langs else []
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if n.langs else []
         at = 0
         while at < len(known):
             part, size = [], 0
@@ -240,5 +249,4 @@ def predict(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
                 lang[i], score[i] = n.langs[k], min(1.0, float(s))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    out = docs.withColumn("_said", of.asNondeterministic()(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_said.lang_pred"), "score": F.col("_said.score")}).drop("_said")
+    return with_fields(docs, of.asNondeterministic()(F.col(text)), {"lang_pred": None, "score": None})
