@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import text_slices, worker_cache
+from bytesift.llm.common import text_slices, with_fields, worker_cache
 from bytesift.llm.tokens import LONGEST_CACHED, UnitCache, byte_path, byte_units, load
 
 FAN_IN = 64
@@ -87,12 +87,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", l
             tokens += map(sum, cache([byte_units(t) for t in texts[i:j]]))
         return pd.DataFrame({"n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens}, dtype="int64")
 
-    out = docs.withColumn("_counted", count(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumns({
-        "n_bytes": F.col("_counted.n_bytes"),
-        "n_tokens": F.col("_counted.n_tokens"),
-        "over_limit": F.col("_counted.n_tokens") > limit,
-    }).drop("_counted")
+    counted = count.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))
+    return with_fields(docs, counted, {"n_bytes": None, "n_tokens": None, "over_limit": F.col("made.n_tokens") > limit})
 
 
 def _cache(path: str, first) -> UnitCache:

@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import crc_bucket_col, materialise, release, worker_cache
+from bytesift.llm.common import crc_bucket_col, with_fields, worker_cache
+from bytesift.storage import materialise, release
 
 WORD = re.compile(r"[^\W\d_]+")
 #: A word is cut into windows of so many characters; segments are 4 to 12 characters with the leading space.
@@ -174,14 +175,15 @@ def fit(toxic: list[str], ordinary: list[str], usual: int = 3000) -> Model:
 def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_rows: int = 1500, ordinary_rows: int = 3000, longest: int = 60_000) -> tuple[list[str], list[str]]:
     """Texts of at most so many labelled rows of each class, those whose ids hash lowest; empty texts and those over ``longest`` characters aren't learned from and take no other row's place.
 
-    Only rows whose crc32(doc_id as text) mod 3 is not 1 are used.
+    Only rows whose crc32(doc_id as text) mod 3 is not 1 are used. Of an id that repeats the first text in order is learned from.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket_col("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.col(text).alias("t")).where((F.length("t") > 0) & (F.length("t") <= longest))
     usable = materialise(usable.join(texts.select("doc_id"), "doc_id", "left_semi"), "learnable")
     picked = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, ordinary_rows))]
     few = picked[0].unionByName(picked[1])
-    rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "t", "toxic").collect()
+    # of an id that repeats, one text: what reaches the driver is bounded by the rows picked
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).collect()
     release(usable)
     rows.sort(key=lambda r: (r["doc_id"], r["t"]))
     return [r["t"] for r in rows if r["toxic"] == 1], [r["t"] for r in rows if r["toxic"] == 0]
@@ -207,5 +209,5 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
         z = np.clip(m.weights[0] + np.array(x, dtype=float).reshape(-1, 2) @ np.array(m.weights[1:]), -30, 30)
         return pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "n_windows": n})
 
-    out = docs.withColumn("_scored", of.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumns({"score": F.col("_scored.score"), "predicted": (F.col("_scored.score") >= CUT).cast("int"), "n_windows": F.col("_scored.n_windows")}).drop("_scored")
+    scored = of.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))
+    return with_fields(docs, scored, {"score": None, "predicted": (F.col("made.score") >= CUT).cast("int"), "n_windows": None})
