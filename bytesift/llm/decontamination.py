@@ -2,8 +2,8 @@
 
 A document's windows as long as an item get a SimHash of their word shingles. A multi-index finds the
 items whose fingerprints are near: the 64 bits are cut into eight blocks, and of two fingerprints that
-differ in at most RADIUS bits one block differs in at most RADIUS // 8, so looking up each block's
-neighbourhood finds every item within the radius. Candidates are then verified by the
+differ in at most RADIUS bits one block differs in at most RADIUS // 8, so looking up the values
+near each block's, in lists of items sorted by that block, finds every item within the radius. Candidates are then verified by the
 weighted Jaccard similarity of the two multisets of shingles. Windows that hold too few of the
 items' shingles to reach the threshold get no fingerprint. A text shorter than an item is one window with
 its own number of shingles, compared with every item that it shares enough shingles with.
@@ -25,6 +25,10 @@ SIZE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 20, 8
 ITEMS = 20_000
 #: Windows fingerprinted at once.
 WINDOWS = 20_000
+#: Entries that a lookup of windows may give at once, for each block.
+LOOKUPS = 4_000_000
+#: For each value of a block, those that differ in at most RADIUS // BLOCKS bits: one of two fingerprints' blocks must, within the radius.
+NEAR = np.array([[v ^ d for d in range(256) if d.bit_count() <= RADIUS // BLOCKS] for v in range(256)])
 LEAKS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, n_words: bigint>>"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,19 +89,27 @@ class Index:
         self.n = hashed.shape[1]
         order = np.argsort(hashed, axis=None, kind="stable")
         self.sorted, self.owner = hashed.ravel()[order], (order // self.n).astype(np.int32)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]) <= RADIUS // BLOCKS
-        values = self.prints.view(np.uint8).reshape(-1, 8)
-        self.table = near[:, values].transpose(2, 0, 1)  # block x value x item
+        values = self.prints.view(np.uint8).reshape(-1, BLOCKS)
+        self.order = [np.argsort(values[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        self.begin = [np.searchsorted(values[o, b], np.arange(257)) for b, o in enumerate(self.order)]
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of every fingerprint pair within the radius."""
-        blocks = prints.view(np.uint8).reshape(-1, 8)
-        found = self.table[0, blocks[:, 0]]
-        for b in range(1, BLOCKS):
-            found = found | self.table[b, blocks[:, b]]
-        w, i = np.nonzero(found)
-        near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-        return w[near], i[near]
+        """(window, item) of every fingerprint pair within the radius, each once: items by block value, looked up for each value near the window's."""
+        blocks, out = prints.view(np.uint8).reshape(-1, BLOCKS), []
+        step = max(1, LOOKUPS // max(1, len(self.ids)))
+        for at in range(0, len(prints), step):
+            found = []
+            for b in range(BLOCKS):
+                wanted = NEAR[blocks[at : at + step, b]]  # windows x values
+                first, n = self.begin[b][wanted].ravel(), (self.begin[b][wanted + 1] - self.begin[b][wanted]).ravel()
+                ends = np.cumsum(n)
+                inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
+                w, i = np.repeat(at + np.arange(len(wanted)), n.reshape(wanted.shape).sum(axis=1)), self.order[b][np.repeat(first, n) + inner]
+                near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+                found.append(w[near] * len(self.ids) + i[near])
+            out.append(np.unique(np.concatenate(found)))
+        pairs = np.concatenate(out) if out else np.zeros(0, np.int64)
+        return pairs // len(self.ids), pairs % len(self.ids)
 
     def sharing(self, shingles: np.ndarray, least: int) -> np.ndarray:
         """Items with at least ``least`` shingles, repeats counted, that are among ``shingles``."""
