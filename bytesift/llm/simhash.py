@@ -18,10 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import connected_components, local_components, materialise, partitions
+from bytesift.llm.common import connected_components, local_components, partitions
+from bytesift.storage import materialise
 
 RADIUS = 4
-#: Frontier entries that a task compares at once.
+#: Fingerprints in a shard that is searched where it lies.
+LARGEST = 4096
+#: Frontier entries that a task compares at once, and links that it holds before it unites them.
 FRONTIER = 4_000_000
 
 
@@ -75,13 +78,13 @@ def block_masks(blocks: int, radius: int) -> list[int]:
 
 
 def tree_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of entries of the same shard within the radius, i before j, by one BK-tree for each shard.
+    """(a, low): a spanning forest of the entries of the same shard within the radius, by one BK-tree for each shard.
 
-    ``shard`` is sorted. Building: all entries descend together; of those that reach the same free
+    Links are united as they are found, so a family of near copies never has all its pairs in memory. ``shard`` is sorted. Building: all entries descend together; of those that reach the same free
     (node, distance) the first becomes the child. Searching likewise, with a frontier of (entry, node).
     """
     n = len(fp)
-    first = np.concatenate([[True], shard[1:] != shard[:-1]])
+    first = np.r_[True, shard[1:] != shard[:-1]][:n]
     root = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     at, who = root.copy(), np.arange(n)
     at, who = at[~first], who[~first]
@@ -99,7 +102,19 @@ def tree_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     key, kid = (np.concatenate(keys), np.concatenate(kids)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = np.argsort(key)
     key, kid = key[order], kid[order]
-    found_i, found_j = [], []
+    label, found = np.arange(n), []
+
+    def unite(least: int) -> None:
+        nonlocal label
+        if sum(len(x) for x, _ in found) > least:
+            a, b = label[np.concatenate([x for x, _ in found])], label[np.concatenate([y for _, y in found])]
+            found.clear()
+            if (a != b).any():
+                held, low = local_components(a[a != b], b[a != b])
+                up = np.arange(n)
+                up[held] = low
+                label = up[label]
+
     for begin in range(0, n, max(1, FRONTIER // 64)):
         entries = np.arange(begin, min(n, begin + max(1, FRONTIER // 64)))
         stack = [(entries, root[entries])]
@@ -111,8 +126,9 @@ def tree_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
                 continue
             d = np.bitwise_count(fp[x] ^ fp[node]).astype(np.int64)
             hit = (d <= radius) & (node < x)
-            found_i.append(node[hit])
-            found_j.append(x[hit])
+            hit[hit] = label[node[hit]] != label[x[hit]]
+            found.append((node[hit], x[hit]))
+            unite(FRONTIER)
             lo = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0))
             hi = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), side="right")
             wide = hi - lo
@@ -122,60 +138,55 @@ def tree_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
                 ends = np.cumsum(wide)
                 inner = np.arange(ends[-1]) - np.repeat(ends - wide, wide)
                 stack.append((np.repeat(x, wide), kid[np.repeat(lo, wide) + inner]))
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
+    unite(0)
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
 
-def link_forest(shard: np.ndarray, fp: np.ndarray, radius: int, masks: list[int], largest: int = 4096) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links inside each shard; shards over ``largest`` are cut again by ``masks``.
 
-    Two entries within the radius agree on the bits of one mask at least, so nothing is lost.
-    """
+def link_forest(shard: np.ndarray, fp: np.ndarray, radius: int, largest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of a spanning forest of the links inside each shard, and (shard, fp) of the shards over ``largest``, which aren't searched."""
     order = np.argsort(shard, kind="stable")
     shard, fp = shard[order], fp[order]
-    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
     sizes = np.diff(edges)
-    large = sizes > largest
-    out = []
-    if masks:
-        for a, n in zip(edges[:-1][large].tolist(), sizes[large].tolist(), strict=True):
-            part = fp[a : a + n]
-            for mask in masks:
-                out += link_forest(part & np.uint64(mask), part, radius, [], largest)
-        keep = ~np.repeat(large, sizes)
-        shard, fp = shard[keep], fp[keep]
-    if len(fp):
-        i, j = tree_links(shard, fp, radius)
-        if len(i):
-            a, b = fp[i].view(np.int64), fp[j].view(np.int64)
-            nodes, low = local_components(a, b)
-            out.append((nodes[nodes != low], low[nodes != low]))
-    return out
-
-
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) among the distinct longs ``fp`` that connect all within the radius; no pairs inside a group.
+    large = np.repeat(sizes > (len(fp) if largest is None else largest), sizes)
+    rest = fp[~large]
+    i, j = tree_links(shard[~large], rest, radius)
+    return rest[i].view(np.int64), rest[j].view(np.int64), shard[large], fp[large].view(np.int64)
 
-    With more fingerprints, more blocks are used, so shards stay small. Trees of a shard over 4096 are
-    cut by blocks of another layout first.
-    """
-    if blocks is None:
-        blocks = radius + 2 if fps.count() < 50_000_000 else radius + 3
-    masks = block_masks(blocks, radius)
-    finer = block_masks(radius + 4, radius)
+
+def _dealt(fps: DataFrame, masks: list[int], *within: str) -> DataFrame:
+    """(shard, fp): each fingerprint once for each mask, in the shard of its masked bits (inside the columns ``within``)."""
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in enumerate(masks)])
-    dealt = fps.select("fp", F.explode(keys).alias("key")).select(F.xxhash64("key.mask", "key.value").alias("shard"), "fp")
+    return fps.select(*within, "fp", F.explode(keys).alias("key")).select(F.xxhash64(*within, "key.mask", "key.value").alias("shard"), "fp")
+
 
-    def search(batches):
-        shards, found = [], []
-        for pdf in batches:
-            shards.append(pdf["shard"].to_numpy(np.int64))
-            found.append(pdf["fp"].to_numpy(np.int64).view(np.uint64))
-        if found:
-            for a, b in link_forest(np.concatenate(shards), np.concatenate(found), radius, finer):
-                yield pd.DataFrame({"a": a, "b": b})
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
+    """Links (a, b) among the distinct longs ``fp`` that connect all within the radius; no pairs inside a group.
 
+    Shards by ``radius + 2`` blocks, two of which agree: for random fingerprints a shard is full at ``largest``
+    only beyond eight thousand million of them. Shards over that, families of near copies above all, aren't searched
+    where they lie but dealt again by ``radius + 4`` blocks, four of which agree, over all tasks.
+    """
     n = partitions(fps.sparkSession)
-    return dealt.repartition(n, "shard").mapInPandas(search, "a long, b long")
+
+    def search(most: int | None):
+        def step(batches):
+            shards, found = [], []
+            for pdf in batches:
+                shards.append(pdf["shard"].to_numpy(np.int64))
+                found.append(pdf["fp"].to_numpy(np.int64).view(np.uint64))
+            if found:
+                a, b, shard, fp = link_forest(np.concatenate(shards), np.concatenate(found), radius, most)
+                yield pd.DataFrame({"a": np.r_[a, shard], "b": np.r_[b, fp], "large": np.repeat([False, True], [len(a), len(fp)])})
+
+        return step
+
+    schema = "a long, b long, large boolean"
+    first = materialise(_dealt(fps, block_masks(radius + 2, radius)).repartition(n, "shard").mapInPandas(search(largest), schema), "shard-links")
+    large = first.where("large").select(F.col("a").alias("of"), F.col("b").alias("fp"))
+    second = _dealt(large, block_masks(radius + 4, radius), "of").repartition(n, "shard").mapInPandas(search(None), schema)
+    return first.where("not large").select("a", "b").unionByName(second.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, size: int = 4) -> DataFrame:
