@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -54,14 +55,17 @@ def near(rng, n, spread):
 
 
 @pytest.mark.parametrize("largest", [8, 4096])
-def test_tree_links_equal_all_pairs(spark, largest):
+def test_tree_links_equal_all_pairs(spark, monkeypatch, largest):
     fp = near(np.random.default_rng(largest), 400, 6)
     want = groups(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 4])
-    forest = simhash.link_forest(np.zeros(len(fp), np.int64), fp, 4, simhash.block_masks(8, 4), largest)
+    a, b, shard, left = simhash.link_forest(np.zeros(len(fp), np.int64), fp, 4, largest)
     at = {int(x): k for k, x in enumerate(fp.view(np.int64))}
-    got = groups(len(fp), [(at[int(a)], at[int(b)]) for x, y in forest for a, b in zip(x, y, strict=True)])
-    assert got == want
-    links = simhash.fingerprint_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")).collect()
+    if largest < len(fp):
+        assert len(a) == 0 and sorted(left) == sorted(fp.view(np.int64))
+    else:
+        assert groups(len(fp), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == want
+    monkeypatch.setattr(simhash, "FRONTIER", 500)
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), largest=largest).collect()
     assert groups(len(fp), [(at[r["a"]], at[r["b"]]) for r in links]) == want
 
 
@@ -125,39 +129,71 @@ def test_no_link_of_a_dense_region_is_missed(spark):
 
 
 def test_many_partitions_lose_no_link(spark):
-    v = dense_third(600, seed=9)
+    v = dense_third(900, seed=9)
     x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "60")
     try:
-        df = spark.createDataFrame([(k, 64, r) for k, r in enumerate(v.tolist())], "node long, dim int, v array<float>")
-        links = embeddings.all_links(df).collect()
+        df = spark.createDataFrame([(k, r) for k, r in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+        got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(df).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    near = np.argwhere(np.triu(x @ x.T >= 0.95, 1)).tolist()
-    assert groups(len(x), [(r["a"], r["b"]) for r in links]) == groups(len(x), near)
+    assert [got[k] for k in range(len(x))] == groups(len(x), np.argwhere(np.triu(x @ x.T >= 0.95, 1)).tolist())
 
 
-def test_links_between_blocks(spark):
+def region(v, mult=None):
+    return [(0, k, 1 if mult is None else mult[k], r, len(r)) for k, r in enumerate(v.tolist())], "region long, node long, mult long, v array<float>, dim int"
+
+
+@pytest.mark.parametrize("block", [100, 5000])
+def test_regions_are_compared_whole(spark, block):
     v = dense_third(900, seed=7)
+    mult = np.random.default_rng(1).integers(1, 4, len(v)).tolist()
     x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
-    want = groups(len(x), [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.95)), strict=True) if i < j])
-    df = spark.createDataFrame([(k, 64, r) for k, r in enumerate(v.tolist())], "node long, dim int, v array<float>")
-    for block in (100, 5000):
-        links = embeddings.all_links(df, block=block).collect()
-        assert groups(len(x), [(r["a"], r["b"]) for r in links]) == want
-
-
-def test_links_are_counted_across_chunks(spark):
-    rng = np.random.default_rng(1)
-    v = [(0, k, int(rng.integers(1, 4)), [float(a) for a in rng.standard_normal(4)], 4) for k in range(90)]
-    df = spark.createDataFrame(v, "component long, node long, mult long, v array<double>, dim int")
-    x = np.array([r[3] for r in v])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.5
+    near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
-    got = {r["node"]: r["links"] for r in embeddings.count_links(df, 0.5, chunk=20).collect()}
-    assert [got[k] for k in range(90)] == (near @ np.array([r[2] for r in v])).tolist()
+    rows = embeddings.region_links(spark.createDataFrame(*region(v, mult)), block=block).collect()
+    assert groups(len(x), [(r["node"], r["low"]) for r in rows]) == groups(len(x), np.argwhere(near).tolist())
+    got = Counter()
+    for r in rows:
+        got[r["node"]] += r["links"]
+    assert [got[k] for k in range(len(x))] == (near @ np.array(mult)).tolist()
+
+
+def test_windows_link_or_crowd(spark):
+    rng = np.random.default_rng(2)
+    x = embeddings.unit(np.concatenate([rng.standard_normal((50, 24)), rng.standard_normal(24) + rng.standard_normal((30, 24)) * 0.05]))
+    x = np.insert(x, 10, x[9], axis=0)
+    a, b, c, d = embeddings.window_links(np.arange(len(x)), x, 8, 0.95)
+    assert (9, 10) in set(zip(a.tolist(), b.tolist(), strict=True))
+    assert set(c.tolist()) == set(range(51, 81)) and not {*a.tolist(), *b.tolist()} & set(range(51, 81))
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.6])
+def test_recall_on_many_vectors(spark, spread):
+    """Links planted among 20,000 vectors, evenly spread or with a third of them in a cone of that mutual cosine."""
+    rng = np.random.default_rng(5)
+    n, dims = 20_000, 64
+    x = rng.standard_normal((n, dims)) / np.sqrt(dims)
+    x[: n // 3] = np.sqrt(1 - spread) * x[: n // 3] + np.sqrt(spread) * embeddings.unit(rng.standard_normal((1, dims)))
+    x = embeddings.unit(x)
+    at = rng.permutation(n)
+    noise = rng.standard_normal((2000, dims)) / np.sqrt(dims)
+    x[at[:2000]] = x[at[2000:4000]] + 0.3 * noise
+    x = embeddings.unit(x.astype(np.float32))
+    want = set()
+    for s in range(0, n, 1000):
+        i, j = np.nonzero(x[s : s + 1000] @ x.T >= 0.95)
+        want |= {(s + p, q) for p, q in zip(i.tolist(), j.tolist(), strict=True) if s + p < q}
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.astype(np.float32).tolist()}))
+    got = embeddings.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert len(want) > 1500 and 0.95 * len(want) <= got / 2 <= len(want)
+
+
+def test_null_vec_ids(spark):
+    rows = [(None, [1.0, 0.0]), (4, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None), (7, [5.0, 0.1])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("kept", F.lit("mine"))).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, 2, 4, False), (4, 2, 4, True), (7, 2, 4, False), (None, 0, None, False), (None, 0, None, False)])
 
 
 def slow_leaks(text, items):

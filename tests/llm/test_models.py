@@ -81,6 +81,21 @@ def test_language_of_held_out_texts(spark, net, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language.predict(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark, net):
+    rows = [(k, t) for k, t in enumerate(["½ ² 3", "Ⅷ ② 7", "_ ½a", "中", "-- ٣"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), net[0]).collect()}
+    assert [got[k] == "und" for k in range(5)] == [True, True, False, False, True]
+
+
+def test_rows_of_many_languages(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k % 300}") for k in range(6000)] + [(5, f"other {k}", "l5") for k in range(400)] + [(6, "same", "l6")] * 400, "doc_id long, text string, lang string")
+    texts, langs = language.training_rows(docs, most_rows=1500)
+    per = Counter(langs)
+    assert len(per) == 300 and max(per.values()) <= 5 and len(texts) <= 1500
+    texts, langs = language.training_rows(docs, per_language=1000)
+    assert Counter(texts).most_common(1)[0][1] == 1 and set(Counter(langs)) == {f"l{k}" for k in range(300)}
+
+
 def test_gradients_are_those_of_the_loss():
     model = language.new_net(["a", "b"], 1)
     rows, y = np.random.default_rng(0).integers(0, 257, (5, language.SPAN)), np.array([0, 1, 1, 0, 1])
