@@ -21,7 +21,7 @@ from bytesift.llm.common import connected_components, local_components, partitio
 from bytesift.storage import materialise, release
 
 COSINE, BITS, WINDOW = 0.95, 48, 32
-#: A window at least half of which is as near as this is crowded.
+#: A window at least a quarter of which is as near as this is crowded.
 DENSE = 0.7
 #: Passes in a round; share of the links found that may be left when no further round is run.
 PASSES, LEFT = 6, 0.005
@@ -49,7 +49,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def window_links(nodes: np.ndarray, x: np.ndarray, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b) of unit rows in order with at most ``window`` between them, and stars (c, d) of the crowded ones.
 
-    A row is crowded if half its window, forwards or backwards, is nearer than ``DENSE``; so are the rows that
+    A row is crowded if a quarter of its window, forwards or backwards, is nearer than ``DENSE``; so are the rows that
     crowd it. Links between two crowded rows are left out, as their region is compared whole.
     """
     n = len(nodes)
@@ -60,7 +60,7 @@ def window_links(nodes: np.ndarray, x: np.ndarray, window: int, cosine: float) -
     behind = np.zeros(n, np.int64)
     for d in range(1, len(near) + 1):
         behind[d:] += close[d - 1, :-d]
-    crowded = (close.sum(axis=0) >= window // 2) | (behind >= window // 2)
+    crowded = (close.sum(axis=0) >= window // 4) | (behind >= window // 4)
     d, i = np.nonzero(close)
     j = i + d + 1
     among = crowded[i] | crowded[j]
@@ -114,16 +114,23 @@ def all_passes(distinct: DataFrame, cosine: float = COSINE, passes: int = PASSES
     rows = distinct.count()
     found, before, yields = None, 0, []
     while True:
-        new = round_links(distinct, passes * len(yields), passes, rows, window, cosine)
-        both = materialise(new if found is None else found.unionByName(new).distinct(), "pass-links")
+        new = materialise(round_links(distinct, passes * len(yields), passes, rows, window, cosine), "round-links")
+        every = new if found is None else found.unionByName(new).distinct()
+        # a link between crowded rows, whenever they were found to be, only says that their regions are one
+        nodes = every.where("dense").select(F.explode(F.array("a", "b")).alias("x")).distinct()
+        ends = [nodes.select(F.col("x").alias(c)) for c in ("xa", "xb")]
+        links = every.where("not dense").select("a", "b").join(ends[0], F.col("a") == F.col("xa"), "left").join(ends[1], F.col("b") == F.col("xb"), "left")
+        links = links.select("a", "b", (F.col("xa").isNotNull() & F.col("xb").isNotNull()).alias("dense"))
+        both = materialise(every.where("dense").unionByName(links), "pass-links")
+        release(new)
         if found is not None:
             release(found)
         found, total = both, both.where("not dense").count()
         yields.append(total - before)
         before = total
         if len(yields) > 1:
-            ratio = min(yields[-1] / max(1, yields[-2]), 0.95)
-            if yields[-1] * ratio / (1 - ratio) <= left * total:
+            ratio = min(max(0, yields[-1]) / max(1, yields[-2]), 0.95)
+            if max(0, yields[-1]) * ratio / (1 - ratio) <= left * total:
                 break
     return found.where("not dense").select("a", "b"), found.where("dense").select("a", "b")
 
