@@ -18,12 +18,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytesift.llm.common import partitions, text_slices
-from bytesift.llm.tokens import word_ids, word_path
-from bytesift.storage import materialise, new_path
+from bytesift.llm.tokens import load, word_ids, word_path
+from bytesift.storage import materialise, new_path, release
 
 MAGIC = b"DACIDS01"
 BLOCK_WORDS = 8
@@ -126,14 +126,31 @@ class TokenFile:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(d, h, ids): doc_id, a hash of the text, and its ids with the end as integers of 16 bits if the vocabulary allows, else of 32."""
+    kind = "<u2" if max(load(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def encode_texts(batches):
+        for pdf in batches:
+            texts = pdf["t"].tolist()
+            for i, j in text_slices(texts):
+                ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in word_ids(path, texts[i:j])]
+                yield pd.DataFrame({"d": pdf["d"].iloc[i:j].astype("Int64"), "h": pdf["h"].iloc[i:j], "wide": kind == "<u4", "ids": ids})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
+    return rows.withColumn("h", F.xxhash64("t")).mapInPandas(encode_texts, "d long, h long, wide boolean, ids binary")
+
+
 def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2, directory: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write files in ascending doc_id order.
 
-    Returns the manifest (part int, seq int, path string, n_docs long, n_ids long), one row a file; files in
-    (part, seq) order follow each other. A task writes under names of its own attempt and the
-    manifest names those of the attempt that ended, so a repeated task leaves no wrong rows. A null
-    doc_id comes first; a null text counts as empty; rows of the same doc_id are in order of their
-    texts. An empty table: no files.
+    Texts are encoded where they lie, and only ids are dealt by ranges of (doc_id, hash of the text, row), so an id
+    that repeats very often is no task's alone. Returns the manifest (part int, seq int, path string, n_docs long,
+    n_ids long), one row a file; files in (part, seq) order follow each other. A task writes under names of its own
+    attempt and the manifest names those of the attempt that ended, so a repeated task leaves no wrong rows.
+    A null doc_id comes first; a null text counts as empty; rows of the same doc_id are in order of their texts'
+    hashes. An empty table: no files.
     """
     path = path or word_path()
     spark = docs.sparkSession
@@ -151,45 +168,45 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
         def flush():
             nonlocal seq, ids, doc_ids, held
             name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
-            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(encode(np.frombuffer(b"".join(ids), dtype="<u4"), doc_ids, starts))
+                out.write(encode(np.concatenate(ids), doc_ids, starts))
             row = pd.DataFrame({"part": [part], "seq": [seq], "path": [f"{directory}/{name}"], "n_docs": [len(doc_ids)], "n_ids": [held]})
             seq, ids, doc_ids, held = seq + 1, [], [], 0
             return row
 
-        end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
-            texts, keys = pdf["t"].tolist(), [None if no else int(k) for k, no in zip(pdf["k"], pdf["no"], strict=True)]
-            for i, j in text_slices(texts):
-                for key, x in zip(keys[i:j], word_ids(path, texts[i:j]), strict=True):
-                    ids.append(x + end)
-                    doc_ids.append(key)
-                    held += len(x) // 4 + 1
-                    if held >= file_ids:
-                        yield flush()
+            for key, no, wide, x in zip(pdf["k"], pdf["no"], pdf["wide"], pdf["ids"], strict=True):
+                ids.append(np.frombuffer(x, "<u4" if wide else "<u2"))
+                doc_ids.append(None if no else int(key))
+                held += len(ids[-1])
+                if held >= file_ids:
+                    yield flush()
         if doc_ids:
             yield flush()
 
+    rows = materialise(encoded(docs, path, end_id).withColumn("r", F.monotonically_increasing_id()), "token-ids")
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
-        .repartitionByRange(partitions(spark), "d")
-        .sortWithinPartitions("d", "t")
-        .select(F.coalesce("d", F.lit(0)).alias("k"), F.col("d").isNull().alias("no"), "t")
+        rows.repartitionByRange(partitions(spark), "d", "h", "r")
+        .sortWithinPartitions("d", "h", "r")
+        .select(F.coalesce("d", F.lit(0)).alias("k"), F.col("d").isNull().alias("no"), "wide", "ids")
     )
-    return materialise(ordered.mapInPandas(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
+    manifest = materialise(ordered.mapInPandas(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
+    release(rows)
+    return manifest
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for every document, from the files alone.
+    """(doc_id, start, n_tokens, ids_crc32) for every document, from the files alone, each read at its own address.
 
-    start: ids of all documents before it. Only the manifest's counts, one row a file, reach the driver.
+    start: ids of all documents before it, from sums over the manifest's parts and files.
     """
     spark = manifest.sparkSession
-    files, before = [], 0
-    for row in sorted(manifest.select("part", "seq", "path", "n_ids").collect()):
-        files.append((row["path"], before))
-        before += row["n_ids"]
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
+    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("n_ids").over(before.partitionBy("part").orderBy("seq")), F.lit(0))
+    files = manifest.withColumn("inside", inside).join(parts, F.col("part") == F.col("of")).select("path", (F.col("earlier") + F.col("inside")).alias("base"))
 
     def read(batches):
         from pyarrow import fs
@@ -199,12 +216,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 store, at = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(at) as source:
                     found = TokenFile(source.read())
-                counts = np.diff(found.starts)
-                ids = memoryview(found.span(0, found.n_ids).astype("<u4").tobytes())
-                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(found.starts[:-1].tolist(), found.starts[1:].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(found.doc_ids, dtype="Int64"), "start": found.starts[:-1] + base, "n_tokens": counts, "ids_crc32": crcs})
-
-    rows = spark.createDataFrame(files, "path string, base long")
-    if files:
-        rows = rows.repartition(max(1, min(len(files), 10_000)))
-    return rows.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                crcs = [zlib.crc32(found.document(k).astype("<u4").tobytes()) for k in range(len(found.doc_ids))]
+                yield pd.DataFrame({"doc_id": pd.array(found.doc_ids, dtype="Int64"), "start": found.starts[:-1] + base, "n_tokens": np.diff(found.starts), "ids_crc32": crcs})
+
+    return files.repartition(partitions(spark)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
