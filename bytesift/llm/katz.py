@@ -15,13 +15,15 @@ history, which go the same way. All tables lie in the shared folder.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytesift.llm.common import partitions, text_slices
-from bytesift.storage import materialise
+from bytesift.storage import delete_path, materialise, release
 
 K, EPSILON = 5, 1e-4
 BATCH_TOKENS = 3_000_000
@@ -308,15 +310,22 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text") -> DataF
     buckets = partitions(spark)
     asked = materialise(read_batches(docs, F.coalesce(train, F.lit(False)), buckets, text), "katz-requests", "none", ["kind"]).select("kind", "key", "batch", "blob")
     counted = materialise(asked.where(F.col("kind").isin("word", "pair")).groupBy("kind", "key").applyInPandas(answer_counts, ROWS), "katz-counts", "none")
+    folders = {os.path.dirname(f) for f in asked.inputFiles()}
+    stores = [p for p in folders if "/kind=store" in p]
+    for path in folders:
+        if "/kind=word" in path or "/kind=pair" in path:  # answered; nothing reads them again
+            delete_path(spark, path)
     sums = counted.where("stats is not null").select("kind", F.posexplode("stats")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect()
     stats = {k: [0] * (K + 3) for k in ("word", "pair")}
     for r in sums:
         stats[r["kind"].split()[0]][r["pos"]] = r["n"]
     model = Model(stats)
-    store = asked.where(F.col("kind") == "store").select("batch", "blob")
+    store = spark.read.schema("key long, batch long, blob binary, stats array<long>").parquet(*stores).select("batch", "blob") if stores else asked.select("batch", "blob")
     answers = counted.where("stats is null").select("kind", "key", "batch", "blob")
     scored = store.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(lambda a, b: score_batch(a, b, model, buckets), ROWS)
     scored = materialise(scored, "katz-scores", "none", ["kind"]).select("kind", "key", "batch", "blob")
+    release(counted)
+    release(store)
     weights = materialise(scored.where(F.col("kind") == "weight").groupBy("key").applyInPandas(answer_weights, ROWS), "katz-weights", "none").select("kind", "key", "batch", "blob")
     done = scored.where(F.col("kind") == "docs").select("batch", "blob")
     total = model.total
