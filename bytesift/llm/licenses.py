@@ -41,7 +41,11 @@ TEMPLATES = [
 ]
 #: Ends of sentences and lines without a word, which end what a wrapped notice may span.
 PARAGRAPH = r"(?<=[.!?;])[ \t\r\n]+|\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n)+"
-LONGEST = max(len(t.split()) for _, t in TEMPLATES)
+Templates = list[tuple[str, str]]
+
+
+def longest(templates: Templates) -> int:
+    return max(len(t.split()) for _, t in templates)
 
 
 def tokens_of(template: str) -> list[str]:
@@ -79,35 +83,42 @@ def token_order(docs: DataFrame, text: str, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_table(order: list[str]) -> Column:
-    """The templates as an array of structs: label, tokens in order, size, need, prefix."""
-    rank = {w: k for k, w in enumerate(order)}
-    rows = []
-    for label, template in TEMPLATES:
+def template_rows(order: list[str], templates: Templates) -> list[tuple[str, list[str], int, list[str]]]:
+    """(label, tokens in order, need, prefix) of every template."""
+    rank, rows = {w: k for k, w in enumerate(order)}, []
+    for label, template in templates:
         tokens = sorted(tokens_of(template), key=rank.__getitem__)
         need = math.ceil(THRESHOLD * len(tokens) - 1e-9)
-        prefix = tokens[: len(tokens) - need + 1]
-        rows.append(
-            F.struct(
-                F.lit(label).alias("label"), F.array(*map(F.lit, tokens)).alias("tokens"), F.lit(len(tokens)).alias("size"), F.lit(need).alias("need"), F.array(*map(F.lit, prefix)).alias("prefix")
-            )
-        )
-    return F.array(*rows)
-
-
-def prefix_tokens(order: list[str]) -> list[str]:
-    rank, out = {w: k for k, w in enumerate(order)}, set()
-    for _, template in TEMPLATES:
-        tokens = sorted(tokens_of(template), key=rank.__getitem__)
-        out.update(tokens[: len(tokens) - math.ceil(THRESHOLD * len(tokens) - 1e-9) + 1])
-    return sorted(out)
+        rows.append((label, tokens, need, tokens[: len(tokens) - need + 1]))
+    return rows
 
 
-def matches(text: Column, order: list[str]) -> Column:
-    """array<struct<label, containment>> of every block and template that meet the threshold."""
+def template_table(rows: list[tuple]) -> Column:
+    """The templates as an array of structs: label, tokens in order, size, need, prefix."""
+    words = lambda ws: F.array(*map(F.lit, ws))
+    return F.array(*[F.struct(F.lit(label).alias("label"), words(tokens).alias("tokens"), F.lit(len(tokens)).alias("size"), F.lit(need).alias("need"), words(prefix).alias("prefix")) for label, tokens, need, prefix in rows])
+
+
+def prefix_index(rows: list[tuple]) -> dict[str, list[int]]:
+    """Prefix token -> the templates, by number from 1, that have it in their prefix."""
+    out: dict[str, list[int]] = {}
+    for k, (_, _, _, prefix) in enumerate(rows, 1):
+        for w in prefix:
+            out.setdefault(w, []).append(k)
+    return dict(sorted(out.items()))
+
+
+def matches(text: Column, order: list[str], templates: Templates) -> Column:
+    """array<struct<label, containment>> of every block and template that meet the threshold.
+
+    A block's rare tokens are looked up in the index of prefix tokens; only the templates found there are compared with it.
+    """
+    reach, listed = longest(templates), template_rows(order, templates)
     low = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")))
     blocks = F.split(F.regexp_replace(low, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    vocabulary, templates = F.array(*map(F.lit, order)), template_table(order)
+    vocabulary, table, index = F.array(*map(F.lit, order)), template_table(listed), prefix_index(listed)
+    keys = F.array(*map(F.lit, index))
+    numbers = F.map_from_arrays(keys, F.array(*[F.array(*map(F.lit, ks)) for ks in index.values()]))
 
     def words(block: Column) -> Column:
         return F.btrim(F.regexp_replace(block, NOT_WORD, " "))
@@ -117,11 +128,11 @@ def matches(text: Column, order: list[str]) -> Column:
         return F.array_intersect(vocabulary, F.split(words, " "))
 
     def wrapped(lines: Column) -> Column:
-        heads = F.transform(lines, lambda x: F.substring_index(x, " ", LONGEST))
+        heads = F.transform(lines, lambda x: F.substring_index(x, " ", reach))
 
         def of_line(heads: Column) -> Column:
             def after(k: Column) -> Column:
-                return F.substring_index(F.array_join(F.slice(heads, k + 1, LONGEST), " "), " ", LONGEST)
+                return F.substring_index(F.array_join(F.slice(heads, k + 1, reach), " "), " ", reach)
 
             return F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda k: F.concat_ws(" ", F.element_at(lines, k), after(k)))
 
@@ -138,23 +149,26 @@ def matches(text: Column, order: list[str]) -> Column:
         def verified(t: Column) -> Column:
             return F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["tokens"], held)) / t["size"]).alias("containment"))
 
-        return F.filter(F.transform(F.filter(templates, passes), verified), lambda m: m["containment"] >= THRESHOLD)
+        met = F.array_distinct(F.flatten(F.transform(F.array_intersect(keys, held), lambda w: F.element_at(numbers, w))))
+        near = F.filter(F.transform(met, lambda k: F.element_at(table, k)), passes)
+        return F.filter(F.transform(near, verified), lambda m: m["containment"] >= THRESHOLD)
 
     joined = F.flatten(F.transform(F.transform(F.split(low, PARAGRAPH), lambda p: F.transform(F.split(p, "\n"), words)), wrapped))
     sets = F.filter(F.transform(F.concat(F.transform(blocks, words), joined), held_by), lambda held: F.size(held) > 0)
     return F.flatten(F.transform(sets, candidates))
 
 
-def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates: Templates = TEMPLATES) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score of every whole text.
 
     n_base counts the places of the fixed phrases, first_word and last_word are the smallest and largest
     word they start at (null if none). labels joins base_labels with those of matched templates; score is 1
     with a fixed phrase, else the best containment found, else 0. A null text is empty. Repeated rows
-    stay; columns of these names are replaced, others pass through. An empty table: an empty result.
+    stay; columns of these names are replaced, others pass through. An empty table: an empty result. ``templates``
+    are (label, wording) in lower case, a list small enough for the plan.
     """
     names = docs.columns
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
     order = token_order(docs, text, vocabulary)
     base = f"(?<= )(?:{'|'.join(PHRASES)})(?= )"
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
@@ -162,13 +176,13 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({"n_words": F.when(F.col("w") == "  ", F.lit(0)).otherwise(spaces(F.col("w")) - 1).cast("long"), "has": any_of(F.col("w"), list(PHRASES))})
     before_first = F.substring(F.col("w"), F.lit(1), F.regexp_instr(F.col("w"), F.lit(base)) - 1)
     before_last = F.regexp_extract("w", f"(?s)^(.*){base}", 1)
-    gate = any_of(F.col("w"), prefix_tokens(order))
+    gate = any_of(F.col("w"), list(prefix_index(template_rows(order, templates))))
     out = out.withColumns({
         "n_base": F.when(F.col("has"), F.regexp_count(F.col("w"), F.lit(base))).otherwise(0).cast("long"),
         "first_word": F.when(F.col("has"), spaces(before_first) - 1),
         "last_word": F.when(F.col("has"), spaces(before_last) - 1),
         "base": F.when(F.col("has"), F.filter(F.array(*[F.when(F.contains("w", F.lit(f" {p} ")), F.lit(v)) for p, v in PHRASES.items()]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")),
-        "found": F.when(gate, matches(F.col("t"), order)).otherwise(F.array().cast("array<struct<label:string,containment:double>>")),
+        "found": F.when(gate, matches(F.col("t"), order, templates)).otherwise(F.array().cast("array<struct<label:string,containment:double>>")),
     })
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda m: m["label"]))))
     best = F.aggregate("found", F.when(F.col("has"), F.lit(1.0)).otherwise(F.lit(0.0)), lambda a, m: F.greatest(a, m["containment"]))
@@ -184,6 +198,8 @@ def _sql_templates() -> str:
     return ", ".join(rows)
 
 
+#: Stands for a paragraph's end in the SQL, which has no way to look behind.
+_MARK = "(chr(1) || chr(2) || chr(1))"
 ORACLE = f"""
 WITH lowered AS (
   SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -199,8 +215,16 @@ WITH lowered AS (
   FROM listed
 ), blocks AS (
   SELECT r, unnest(string_split(regexp_replace(t, '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS block FROM lowered
+), paragraphs AS (
+  SELECT r, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?;])[ \\t\\r\\n]+', '\\1' || {_MARK}, 'g'), '\\n(?:[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\\n)+', {_MARK}, 'g'), {_MARK})) AS p FROM lowered
+), lines AS (
+  SELECT r, list_transform(string_split(p, chr(10)), lambda x: list_filter(string_split(regexp_replace(x, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')) AS l
+  FROM paragraphs WHERE contains(p, chr(10))
+), joined AS (
+  SELECT r, unnest(list_transform(range(1, len(l)), lambda k: list_concat(l[k], list_slice(flatten(list_slice(l, k + 1, k + {longest(TEMPLATES)})), 1, {longest(TEMPLATES)})))) AS held FROM lines
 ), sets AS (
   SELECT r, list_distinct(string_split(trim(regexp_replace(block, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')) AS held FROM blocks
+  UNION ALL SELECT r, list_distinct(held) FROM joined
 ), templates(label, tokens, size) AS (VALUES {_sql_templates()}
 ), matched AS (
   SELECT r, label, len(list_intersect(tokens, held)) / size AS containment FROM sets, templates WHERE len(list_intersect(tokens, held)) >= ceil({THRESHOLD} * size - 1e-9)

@@ -238,6 +238,35 @@ def test_wrapped_notices_are_found(spark):
     assert [rows[k]["score"] >= licenses.THRESHOLD for k in range(len(cases))] == [label != "" for label, _ in cases]
 
 
+def test_scan_equals_its_sql_on_wrapped_texts(spark, words):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(21)
+    docs = [(k, t) for k, t in enumerate([None, "", "\n\n", "a.\n *\n b"])]
+    for k in range(300):
+        body = []
+        for _ in range(rng.randint(1, 4)):
+            template = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                template[rng.randrange(len(template))] = rng.choice(["the", "license", "zzz"])
+            body += [rng.choice(words) for _ in range(rng.randint(0, 12))] + template
+        gap = lambda: rng.choice([" "] * 30 + ["\n", "\n * ", "\r\n", "\n\n", ".\n", "; ", "\n--\n"])
+        docs.append((10 + k, "".join(w + gap() for w in body)))
+    documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
+    sql = duckdb.sql(licenses.ORACLE)
+    want = sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sql.fetchall()), key=str)
+    got = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).select(*sql.columns).collect()
+    assert sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in got), key=str) == want
+    assert sum(r[-2] != r[-3] for r in want) > 50
+
+
+def test_templates_are_an_argument(spark):
+    df = spark.createDataFrame([(1, "The Zed Licence applies here."), (2, "mit"), (3, "released under the mit license")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df, templates=[("zed", "the zed licence applies")]).collect()}
+    assert rows == {1: "zed", 2: "", 3: ""}
+
+
 # --- rows that models are fitted on -------------------------------------------------------------------
 
 
