@@ -15,6 +15,7 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 
 from bytesift.llm.common import partitions, text_slices
 from bytesift.llm.tokens import load, word_ids, word_path
-from bytesift.storage import materialise, new_path, release
+from bytesift.storage import materialise, new_path
 
 MAGIC = b"DACIDS01"
 BLOCK_WORDS = 8
 #: A writer starts a new file after so many ids, which bounds its memory.
 FILE_IDS = 6_000_000
+#: Ids that a reader decodes at once.
+READ_IDS = 1 << 17
 
 
 def encode(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
@@ -122,31 +125,55 @@ class TokenFile:
             end = start + len(live)
         return out
 
+    def stretches(self, size: int):
+        """Ranges of documents with about ``size`` ids each (one document at least)."""
+        i = 0
+        while i < len(self.doc_ids):
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + size, side="right")) - 1)
+            yield i, j
+            i = j
+
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(d, h, ids): doc_id, a hash of the text, and its ids with the end as integers of 16 bits if the vocabulary allows, else of 32."""
+def range_bounds(rows: DataFrame, parts: int, each: int = 60) -> list[tuple]:
+    """Keys that cut rows(d, h) into ``parts`` ranges, from a sample of about ``each`` rows a range: they only decide which task gets a row."""
+    count = rows.count()
+    if parts < 2 or not count:
+        return []
+    few = rows.sample(min(1.0, each * parts / count), seed=5).select("d", F.xxhash64("t").alias("h")).collect()
+    keys = sorted((r["d"] is not None, r["d"] or 0, r["h"]) for r in few)
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def encoded(rows: DataFrame, path: str, end_id: int, bounds: list[tuple]) -> DataFrame:
+    """(part, d, h, wide, ids) of rows(d, t): the range a row falls in, a hash of its text, its ids with the end as integers of 16 bits if the vocabulary allows, else of 32."""
     kind = "<u2" if max(load(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode_texts(batches):
+        met = 0
         for pdf in batches:
             texts = pdf["t"].tolist()
+            parts = []
+            for no, k, h in zip(pdf["no"].tolist(), pdf["k"].tolist(), pdf["h"].tolist(), strict=True):
+                low, high = bisect_left(bounds, (not no, k, h)), bisect_right(bounds, (not no, k, h))
+                parts.append(low + met % (high - low + 1))  # a row that fills ranges with its copies is dealt over them
+                met += 1
             for i, j in text_slices(texts):
                 ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in word_ids(path, texts[i:j])]
-                yield pd.DataFrame({"d": pdf["d"].iloc[i:j].astype("Int64"), "h": pdf["h"].iloc[i:j], "wide": kind == "<u4", "ids": ids})
+                yield pd.DataFrame({"part": parts[i:j], "k": pdf["k"].iloc[i:j], "no": pdf["no"].iloc[i:j], "h": pdf["h"].iloc[i:j], "wide": kind == "<u4", "ids": ids})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
-    return rows.withColumn("h", F.xxhash64("t")).mapInPandas(encode_texts, "d long, h long, wide boolean, ids binary")
+    marked = rows.select(F.coalesce("d", F.lit(0)).alias("k"), F.col("d").isNull().alias("no"), F.xxhash64("t").alias("h"), "t")
+    return marked.mapInPandas(encode_texts, "part int, k long, no boolean, h long, wide boolean, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2, directory: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write files in ascending doc_id order.
 
-    Texts are encoded where they lie, and only ids are dealt by ranges of (doc_id, hash of the text, row), so an id
-    that repeats very often is no task's alone. Returns the manifest (part int, seq int, path string, n_docs long,
+    Texts are encoded where they lie, once, and only ids are dealt by ranges of (doc_id, hash of the text), so an id
+    that repeats very often with different texts is no task's alone. Returns the manifest (part int, seq int, path string, n_docs long,
     n_ids long), one row a file; files in (part, seq) order follow each other. A task writes under names of its own
     attempt and the manifest names those of the attempt that ended, so a repeated task leaves no wrong rows.
     A null doc_id comes first; a null text counts as empty; rows of the same doc_id are in order of their texts'
@@ -185,19 +212,16 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2,
         if doc_ids:
             yield flush()
 
-    rows = materialise(encoded(docs, path, end_id).withColumn("r", F.monotonically_increasing_id()), "token-ids")
-    ordered = (
-        rows.repartitionByRange(partitions(spark), "d", "h", "r")
-        .sortWithinPartitions("d", "h", "r")
-        .select(F.coalesce("d", F.lit(0)).alias("k"), F.col("d").isNull().alias("no"), "wide", "ids")
-    )
-    manifest = materialise(ordered.mapInPandas(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
-    release(rows)
-    return manifest
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
+    parts = partitions(spark)
+    found = encoded(rows, path, end_id, range_bounds(rows, parts))
+    # dealt by the number itself: a range partitioning of Spark's would encode all texts once more for its sample
+    ordered = found.repartitionById(parts, "part").sortWithinPartitions(F.col("no").desc(), "k", "h")
+    return materialise(ordered.mapInPandas(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for every document, from the files alone, each read at its own address.
+    """(doc_id, start, n_tokens, ids_crc32) for every document, from the files alone, a stretch of documents at a time, each read at its own address.
 
     start: ids of all documents before it, from sums over the manifest's parts and files.
     """
@@ -216,7 +240,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 store, at = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(at) as source:
                     found = TokenFile(source.read())
-                crcs = [zlib.crc32(found.document(k).astype("<u4").tobytes()) for k in range(len(found.doc_ids))]
+                crcs, starts = [], found.starts.tolist()
+                for i, j in found.stretches(READ_IDS):
+                    ids, first = memoryview(found.span(starts[i], starts[j]).astype("<u4").tobytes()), starts[i]
+                    crcs += [zlib.crc32(ids[4 * (a - first) : 4 * (b - first)]) for a, b in zip(starts[i:j], starts[i + 1 : j + 1], strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(found.doc_ids, dtype="Int64"), "start": found.starts[:-1] + base, "n_tokens": np.diff(found.starts), "ids_crc32": crcs})
 
     return files.repartition(partitions(spark)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

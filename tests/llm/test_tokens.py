@@ -113,3 +113,23 @@ def test_crossover_keeps_every_piece():
     assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(lengths[i] for i in x) <= 100 for x in child)
     moved = packing.from_patterns(lengths, [[lengths[i] for i in x] for x in a], 100)
     assert len(moved) == len(a)
+
+
+def test_one_id_for_many_texts_is_split(spark, words):
+    rows = [(7, f"{words[k % 50]} {k}") for k in range(400)] + [(None, f"none {k}") for k in range(50)] + [(9, "same")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = token_files.write_token_files(df, file_ids=100)
+    per = [r["n"] for r in manifest.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(per) > 2 and max(per) < 700
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 50 + [7] * 400 + [9] * 900
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+
+
+def test_stretches_cover_every_document():
+    starts = np.array([0, 3, 3, 10, 11, 30])
+    found = token_files.TokenFile(token_files.encode(np.arange(30), list(range(5)), starts))
+    for size in (1, 4, 12, 100):
+        pairs = list(found.stretches(size))
+        assert [k for i, j in pairs for k in range(i, j)] == list(range(5))
+        assert all(j == i + 1 or starts[j] - starts[i] <= size for i, j in pairs)
