@@ -27,8 +27,8 @@ ITEMS = 20_000
 WINDOWS = 20_000
 #: Entries that a lookup of windows may give at once, for each block.
 LOOKUPS = 4_000_000
-#: For each value of a block, those that differ in at most RADIUS // BLOCKS bits: one of two fingerprints' blocks must, within the radius.
-NEAR = np.array([[v ^ d for d in range(256) if d.bit_count() <= RADIUS // BLOCKS] for v in range(256)])
+#: For each block and value, the (block, value)s that differ in at most RADIUS // BLOCKS bits: one of two fingerprints' blocks must, within the radius.
+NEAR = np.array([[[b * 256 + (v ^ d) for d in range(256) if d.bit_count() <= RADIUS // BLOCKS] for v in range(256)] for b in range(BLOCKS)])
 LEAKS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, n_words: bigint>>"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,25 +90,25 @@ class Index:
         order = np.argsort(hashed, axis=None, kind="stable")
         self.sorted, self.owner = hashed.ravel()[order], (order // self.n).astype(np.int32)
         values = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        self.order = [np.argsort(values[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
-        self.begin = [np.searchsorted(values[o, b], np.arange(257)) for b, o in enumerate(self.order)]
+        keys = (values + np.arange(BLOCKS) * 256).T.ravel()  # (block, value) of every item, block by block
+        order = np.argsort(keys, kind="stable")
+        self.items, self.begin = (order % len(self.ids)).astype(np.int32), np.searchsorted(keys[order], np.arange(BLOCKS * 256 + 1))
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of every fingerprint pair within the radius, each once: items by block value, looked up for each value near the window's."""
-        blocks, out = prints.view(np.uint8).reshape(-1, BLOCKS), []
-        step = max(1, LOOKUPS // max(1, len(self.ids)))
+        blocks, out = prints.view(np.uint8).reshape(-1, BLOCKS), [np.zeros(0, np.int64)]
+        step = max(1, LOOKUPS // (BLOCKS * len(self.ids)))
         for at in range(0, len(prints), step):
-            found = []
-            for b in range(BLOCKS):
-                wanted = NEAR[blocks[at : at + step, b]]  # windows x values
-                first, n = self.begin[b][wanted].ravel(), (self.begin[b][wanted + 1] - self.begin[b][wanted]).ravel()
-                ends = np.cumsum(n)
-                inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
-                w, i = np.repeat(at + np.arange(len(wanted)), n.reshape(wanted.shape).sum(axis=1)), self.order[b][np.repeat(first, n) + inner]
-                near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-                found.append(w[near] * len(self.ids) + i[near])
-            out.append(np.unique(np.concatenate(found)))
-        pairs = np.concatenate(out) if out else np.zeros(0, np.int64)
+            wanted = NEAR[np.arange(BLOCKS), blocks[at : at + step]].reshape(len(blocks[at : at + step]), -1)  # windows x (block, value)
+            n = self.begin[wanted + 1] - self.begin[wanted]
+            w, k = np.nonzero(n)
+            first, n = self.begin[wanted[w, k]], n[w, k]
+            ends = np.cumsum(n)
+            inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+            w, i = np.repeat(at + w, n), self.items[np.repeat(first, n) + inner]
+            near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+            out.append(np.unique(w[near] * len(self.ids) + i[near]))
+        pairs = np.concatenate(out)
         return pairs // len(self.ids), pairs % len(self.ids)
 
     def sharing(self, shingles: np.ndarray, least: int) -> np.ndarray:
