@@ -1,17 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts: one of the segments most usual in ordinary
-text, one that has besides those the segments typical of toxic text. A window is a word in a fixed
-frame that both dictionaries hold, so its compressed length differs only by the word: the gain is the
-length with the ordinary dictionary less that with the toxic one. A document's score is a
-logistic function of its windows with a gain over a calibrated threshold and of its largest gain.
+zstandard trains dictionaries on labelled text: one on ordinary texts, and one on each half of the toxic
+texts. Windows of a text, each of its words and runs of several, are compressed with every dictionary.
+A window's gain is its compressed length with the ordinary dictionary less the longer of those with the
+toxic ones: what a half holds by chance, the other seldom holds. A document's score is a logistic function
+of how many windows gain how much, calibrated on ordinary texts that no dictionary was trained on.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,112 +22,127 @@ from bytesift.llm.common import crc_bucket_col, with_fields, worker_cache
 from bytesift.storage import materialise, release
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A word is cut into windows of so many characters; segments are 4 to 12 characters with the leading space.
-WINDOW, LONGEST = 40, 12
+#: Longer words are cut into parts of so many characters.
+LONGEST_WORD = 40
+#: A window is a word, or so many words; of the latter one begins at every third word, so that neighbours share one.
+PHRASE, STEP = 4, 3
+#: What both dictionaries hold and every window ends with: zstandard stores what has no match as it is.
 FRAME = "|=the frame that holds a window=|"
 CUT = 0.7
+#: Windows are counted by their gain in bytes; larger gains count as the largest.
+GAINS = 24
+THRESHOLDS = (2, 3, 4, 5)
 
 
 @dataclass
 class Model:
     ordinary: bytes = b""
-    toxic: bytes = b""
-    gain: int = 4
-    weights: list[float] = field(default_factory=lambda: [-6.0, 0.0, 0.0])
+    toxic: list[bytes] = field(default_factory=list)
+    weights: list[float] = field(default_factory=lambda: [-6.0])
 
 
-def _segments(texts: list[str], keep: set | None = None) -> Counter:
-    """In how many texts a segment stands between neighbours not met with it before: copies of a passage count once."""
-    counts, met = Counter(), set()
+def words_of(text: str) -> list[str]:
+    words = WORD.findall(text.lower())
+    if words and len(max(words, key=len)) > LONGEST_WORD:
+        words = [w[k : k + LONGEST_WORD] for w in words for k in range(0, len(w), LONGEST_WORD)]
+    return words
+
+
+def _runs(texts: list[str]) -> list[bytes]:
+    """Distinct runs of words, cut after words that their hash picks: copies of a passage are learned from once."""
+    runs: dict[bytes, None] = {}
     for text in texts:
-        mine, words = set(), WORD.findall(text.lower())
-        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            word = " " + word
-            ends = [word[:k] for k in (4, 5, 6, 8) if k < len(word)]
-            ends.append(word + " " if len(word) < LONGEST else word[:LONGEST])
-            for s in ends:
-                if s in mine or keep is not None and s not in keep:
-                    continue
-                key = hash((s, before, after))
-                if key not in met:
-                    met.add(key)
-                    mine.add(s)
-                    counts[s] += 1
-    return counts
-
-
-def toxic_segments(toxic: list[str], ordinary: list[str], least: float = 7.0, most: int = 400) -> list[str]:
-    """Segments far more frequent in toxic texts than chance allows, none the start of another; the best first."""
-    here = _segments(toxic)
-    here = Counter({s: n for s, n in here.items() if n >= 3})
-    there = _segments(ordinary, set(here))
-    share = len(toxic) / (len(toxic) + len(ordinary))
-
-    def z(s: str) -> float:
-        n = here[s] + there[s]
-        return (here[s] - n * share) / math.sqrt(n * share * (1 - share))
-
-    picked: list[str] = []
-    for s in sorted((s for s in here if z(s) > least and here[s] * len(ordinary) >= 8 * there[s] * len(toxic)), key=lambda s: (-z(s), s)):
-        if not any(s.startswith(p) or p.startswith(s) for p in picked):
-            picked.append(s)
-    # the longest segment that nearly always continues a picked one saves more bytes
-    longer = {p: [s for s in here if s.startswith(p) and here[s] >= 0.85 * here[p]] for p in picked[:most]}
-    return [max(longer[p], key=lambda s: (len(s), s)) for p in picked[:most]]
+        held: list[str] = []
+        for w in words_of(text):
+            held.append(w)
+            if len(held) == 32 or len(held) > 1 and zlib.crc32(w.encode()) % 8 == 0:
+                runs[f" {' '.join(held)} ".encode()] = None
+                held = []
+        if held:
+            runs[f" {' '.join(held)} ".encode()] = None
+    return list(runs)
+
+
+def dictionary(texts: list[str], size: int) -> bytes:
+    """A dictionary that zstandard trains on the texts; text that is too little to train on is one itself."""
+    import zstandard as zs
+
+    runs = _runs(texts)
+    if sum(map(len, runs)) <= size:
+        return b"".join(runs)
+    try:
+        return zs.train_dictionary(size, [r for r in runs if len(r) >= 8], k=16, d=8).as_bytes()
+    except zs.ZstdError:  # few long runs
+        return b"".join(runs)[-size:]
 
 
 class Gains:
-    """Gain of a window: its compressed length with the ordinary dictionary less that with the toxic one."""
+    """How many windows of a text have which gain: a row for words and one for phrases."""
 
     def __init__(self, model: Model):
-        self.coders = [self.coder(model.ordinary), self.coder(model.toxic)] if model.toxic else None
+        self.coders = [self.coder(d) for d in (model.ordinary, *model.toxic)] if model.toxic else []
         self.met: set[str] = set()
-        self.gains: dict[str, int] = {}  # of the few windows with a gain over 0
+        self.gains: dict[str, int] = {}  # of the few words with a gain over 0
 
     @staticmethod
     def coder(content: bytes):
         import zstandard as zs
 
-        held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        held = zs.ZstdCompressionDict(content + FRAME.encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
         how = zs.ZstdCompressionParameters.from_level(
-            9, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=4, strategy=zs.STRATEGY_LAZY
+            9, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=zs.STRATEGY_LAZY
         )
         held.precompute_compress(compression_params=how)
         return zs.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def __call__(self, words: list[str]) -> list[int]:
-        """The gains over 0 among a text's windows."""
-        if self.coders is None:
-            return []
-        distinct = set(words)
-        new = list(distinct.difference(self.met))
-        if len(self.met) > 250_000:
-            self.met = set()
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            framed = [f" {w} {FRAME}".encode() for w in part]
-            a, b = (c.multi_compress_to_buffer(framed, threads=1) for c in self.coders)
-            for k, w in enumerate(part):
-                if (gain := len(a[k]) - len(b[k])) > 0:
-                    self.gains[w] = gain
-        self.met.update(new)
-        if len(self.gains) > 200_000:
-            self.gains = {w: self.gains[w] for w in distinct if w in self.gains}
-            self.met = set(distinct)
-        with_gain = distinct.intersection(self.gains)
-        return [self.gains[w] for w in words if w in with_gain] if with_gain else []
-
-
-def windows(text: str) -> list[str]:
-    words = WORD.findall(text.lower())
-    if words and len(max(words, key=len)) > WINDOW:
-        words = [w[k : k + WINDOW] for w in words for k in range(0, len(w), WINDOW)]
-    return words
-
-
-def features(gains: list[int], least: int) -> tuple[float, float]:
-    """(windows over the threshold, at most 8; the largest gain)."""
-    return min(8, sum(g >= least for g in gains)), max(gains, default=0)
+    @staticmethod
+    def lengths(coder, framed: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, coder.multi_compress_to_buffer(framed, threads=1)), np.int64, len(framed))
+
+    def of_windows(self, windows: list[str]) -> np.ndarray:
+        """Gains, none below 0; a toxic dictionary is asked about what still gains after those before it."""
+        framed = [f" {w} {FRAME}".encode() for w in windows]
+        ordinary, *toxic = self.coders
+        gains = np.zeros(len(framed), np.int64)
+        if not framed:
+            return gains
+        left, usual, most = np.arange(len(framed)), self.lengths(ordinary, framed), None
+        for coder in toxic:
+            gain = usual[left] - self.lengths(coder, [framed[k] for k in left])
+            most = gain if most is None else np.minimum(most, gain)
+            left, most = left[most > 0], most[most > 0]
+            if not len(left):
+                return gains
+        gains[left] = np.minimum(most, GAINS)
+        return gains
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        counts = np.zeros((2, GAINS + 1), np.int64)
+        for at in range(0, len(words) if self.coders else 0, 50_000):
+            part = words[at : at + 50_000]
+            distinct = set(part)
+            new = list(distinct.difference(self.met))
+            if len(self.met) > 250_000:
+                self.met, self.gains = distinct.difference(new), {w: g for w, g in self.gains.items() if w in distinct}
+            found = self.of_windows(new)
+            self.gains.update((new[k], int(found[k])) for k in np.flatnonzero(found))
+            self.met.update(new)
+            if with_gain := distinct.intersection(self.gains):
+                counts[0] += np.bincount([self.gains[w] for w in part if w in with_gain], minlength=GAINS + 1)
+            after = words[at : at + 50_000 + PHRASE - 1]
+            phrases = [" ".join(after[k : k + PHRASE]) for k in range(0, max(1, len(after) - PHRASE + STEP), STEP)]
+            counts[1] += np.bincount(self.of_windows(phrases), minlength=GAINS + 1)
+        return counts
+
+
+def features(counts: np.ndarray, n_words: int) -> list[float]:
+    """For words and for phrases: the largest gain, the mean of the three largest, windows over each threshold; and the text's length."""
+    out = [float(np.log1p(n_words))]
+    for row in counts:
+        over = row[::-1].cumsum()[::-1]  # windows with at least that gain
+        out += [float((over[1:] > 0).sum()), float(np.minimum(over[1:], 3).sum()) / 3]
+        out += [float(np.log1p(over[t])) for t in THRESHOLDS]
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -145,34 +159,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60)
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], usual: int = 3000) -> Model:
-    """Dictionaries, threshold and weights. With no text of a class: a model that scores all near 0."""
+def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 24 << 10, ordinary_size: int = 400_000) -> Model:
+    """Dictionaries and weights. With fewer than two toxic or three ordinary texts: a model that scores all near 0.
+
+    The toxic dictionaries are small, so they hold what is frequent in their texts; the ordinary one is large,
+    so it holds what is ordinary among that. Every third ordinary text is kept for calibration only; a toxic text was
+    learned from by one of the two halves, and the other bounds its gains.
+    """
     model = Model()
-    if not toxic or not ordinary:
-        return model
-    typical = toxic_segments(toxic, ordinary)
-    if not typical:
+    if len(toxic) < 2 or len(ordinary) < 3:
         return model
-    counts = Counter()
-    for t in ordinary:
-        counts.update(set(WORD.findall(t.lower())))
-    base = "".join(f" {w} " for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:usual][::-1]) + FRAME
-    model.ordinary, model.toxic = base.encode(), ("".join(typical[::-1]) + base).encode()
-    gains = Gains(model)
-    found = [gains(windows(t)) for t in toxic + ordinary]
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-
-    def gap(least: int) -> float:
-        has = np.array([max(g, default=0) >= least for g in found])
-        return has[y == 1].mean() - 3 * has[y == 0].mean()
-
-    model.gain = max(range(1, 9), key=lambda k: (gap(k), k))
-    x = np.array([features(g, model.gain) for g in found], dtype=float)
-    model.weights = logistic(x, y).tolist()
+    model.ordinary = dictionary([t for k, t in enumerate(ordinary) if k % 3], ordinary_size)
+    model.toxic = [dictionary(toxic[h::2], toxic_size) for h in range(2)]
+    gains, apart = Gains(model), ordinary[::3]
+    x = [features(gains(words), len(words)) for words in map(words_of, toxic + apart)]
+    model.weights = logistic(np.array(x), np.r_[np.ones(len(toxic)), np.zeros(len(apart))]).tolist()
     return model
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_rows: int = 1500, ordinary_rows: int = 3000, longest: int = 60_000) -> tuple[list[str], list[str]]:
+def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_rows: int = 1500, ordinary_rows: int = 6000, longest: int = 60_000) -> tuple[list[str], list[str]]:
     """Texts of at most so many labelled rows of each class, those whose ids hash lowest; empty texts and those over ``longest`` characters aren't learned from and take no other row's place.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1 are used. Of an id that repeats the first text in order is learned from.
@@ -190,23 +195,24 @@ def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", toxic
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1), predicted (1 if score >= 0.7) and n_windows of every whole text.
+    """``docs`` with score (0 to 1), predicted (1 if score >= 0.7) and n_windows (its words) of every whole text.
 
     Null and empty texts have no window and get the score of that. Columns of these names in ``docs`` are
     replaced, others pass through; repeated rows stay; an empty table: an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = ("toxicity", hash((model.toxic, model.gain, tuple(model.weights))))
+    key = ("toxicity", hash((*model.toxic, tuple(model.weights))))
 
     @F.pandas_udf("score double, n_windows long")
     def of(texts: pd.Series) -> pd.DataFrame:
         gains, m = worker_cache(key, lambda: Gains(held.value)), held.value
-        x, n = [], []
+        weights = np.array(m.weights)
+        z, n = [], []
         for t in texts:
-            words = windows(t)
-            x.append(features(gains(words), m.gain))
+            words = words_of(t)
+            z.append(weights[0] + (np.dot(weights[1:], features(gains(words), len(words))) if len(weights) > 1 else 0))
             n.append(len(words))
-        z = np.clip(m.weights[0] + np.array(x, dtype=float).reshape(-1, 2) @ np.array(m.weights[1:]), -30, 30)
+        z = np.clip(np.array(z, dtype=float), -30, 30)
         return pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "n_windows": n})
 
     scored = of.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))
