@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 zstandard trains dictionaries on labelled text: one on ordinary texts, and one on each half of the toxic
-texts. Windows of a text, each of its words and runs of several, are compressed with every dictionary.
+texts, of short segments for words and of longer ones for phrases. Windows of a text, each of its words and
+runs of several, are compressed with them.
 A window's gain is its compressed length with the ordinary dictionary less the longer of those with the
 toxic ones: what a half holds by chance, the other seldom holds. A document's score is a logistic function
 of how many windows gain how much, calibrated on ordinary texts that no dictionary was trained on.
@@ -24,20 +25,21 @@ from bytesift.storage import materialise, release
 WORD = re.compile(r"[^\W\d_]+")
 #: Longer words are cut into parts of so many characters.
 LONGEST_WORD = 40
-#: A window is a word, or so many words; of the latter one begins at every third word, so that neighbours share one.
-PHRASE, STEP = 4, 3
+#: A window is a word, or so many words; of the latter one begins at every second word.
+PHRASE, STEP = 4, 2
 #: What both dictionaries hold and every window ends with: zstandard stores what has no match as it is.
 FRAME = "|=the frame that holds a window=|"
 CUT = 0.7
 #: Windows are counted by their gain in bytes; larger gains count as the largest.
 GAINS = 24
-THRESHOLDS = (2, 3, 4, 5)
+THRESHOLDS = (2, 3, 4, 5, 6)
 
 
 @dataclass
 class Model:
     ordinary: bytes = b""
-    toxic: list[bytes] = field(default_factory=list)
+    toxic: list[bytes] = field(default_factory=list)  # for words
+    phrases: list[bytes] = field(default_factory=list)  # toxic ones of longer segments, for phrases
     weights: list[float] = field(default_factory=lambda: [-6.0])
 
 
@@ -63,15 +65,15 @@ def _runs(texts: list[str]) -> list[bytes]:
     return list(runs)
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
-    """A dictionary that zstandard trains on the texts; text that is too little to train on is one itself."""
+def dictionary(texts: list[str], size: int, segment: int = 16) -> bytes:
+    """A dictionary that zstandard trains on the texts, of segments of about so many bytes; text that is too little to train on is one itself."""
     import zstandard as zs
 
     runs = _runs(texts)
     if sum(map(len, runs)) <= size:
         return b"".join(runs)
     try:
-        return zs.train_dictionary(size, [r for r in runs if len(r) >= 8], k=16, d=8).as_bytes()
+        return zs.train_dictionary(size, [r for r in runs if len(r) >= 8], k=segment, d=8).as_bytes()
     except zs.ZstdError:  # few long runs
         return b"".join(runs)[-size:]
 
@@ -80,7 +82,8 @@ class Gains:
     """How many windows of a text have which gain: a row for words and one for phrases."""
 
     def __init__(self, model: Model):
-        self.coders = [self.coder(d) for d in (model.ordinary, *model.toxic)] if model.toxic else []
+        self.ordinary = self.coder(model.ordinary) if model.toxic else None
+        self.toxic, self.phrases = ([self.coder(d) for d in held] for held in (model.toxic, model.phrases))
         self.met: set[str] = set()
         self.gains: dict[str, int] = {}  # of the few words with a gain over 0
 
@@ -99,14 +102,13 @@ class Gains:
     def lengths(coder, framed: list[bytes]) -> np.ndarray:
         return np.fromiter(map(len, coder.multi_compress_to_buffer(framed, threads=1)), np.int64, len(framed))
 
-    def of_windows(self, windows: list[str]) -> np.ndarray:
+    def of_windows(self, windows: list[str], toxic: list) -> np.ndarray:
         """Gains, none below 0; a toxic dictionary is asked about what still gains after those before it."""
         framed = [f" {w} {FRAME}".encode() for w in windows]
-        ordinary, *toxic = self.coders
         gains = np.zeros(len(framed), np.int64)
         if not framed:
             return gains
-        left, usual, most = np.arange(len(framed)), self.lengths(ordinary, framed), None
+        left, usual, most = np.arange(len(framed)), self.lengths(self.ordinary, framed), None
         for coder in toxic:
             gain = usual[left] - self.lengths(coder, [framed[k] for k in left])
             most = gain if most is None else np.minimum(most, gain)
@@ -118,30 +120,34 @@ class Gains:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         counts = np.zeros((2, GAINS + 1), np.int64)
-        for at in range(0, len(words) if self.coders else 0, 50_000):
+        for at in range(0, len(words) if self.ordinary else 0, 50_000):
             part = words[at : at + 50_000]
             distinct = set(part)
             new = list(distinct.difference(self.met))
             if len(self.met) > 250_000:
                 self.met, self.gains = distinct.difference(new), {w: g for w, g in self.gains.items() if w in distinct}
-            found = self.of_windows(new)
+            found = self.of_windows(new, self.toxic)
             self.gains.update((new[k], int(found[k])) for k in np.flatnonzero(found))
             self.met.update(new)
             if with_gain := distinct.intersection(self.gains):
                 counts[0] += np.bincount([self.gains[w] for w in part if w in with_gain], minlength=GAINS + 1)
             after = words[at : at + 50_000 + PHRASE - 1]
             phrases = [" ".join(after[k : k + PHRASE]) for k in range(0, max(1, len(after) - PHRASE + STEP), STEP)]
-            counts[1] += np.bincount(self.of_windows(phrases), minlength=GAINS + 1)
+            counts[1] += np.bincount(self.of_windows(phrases, self.phrases), minlength=GAINS + 1)
         return counts
 
 
 def features(counts: np.ndarray, n_words: int) -> list[float]:
-    """For words and for phrases: the largest gain, the mean of the three largest, windows over each threshold; and the text's length."""
-    out = [float(np.log1p(n_words))]
+    """For words and for phrases: the largest gain, the mean of the three largest, how many windows are over each threshold, in all and in a hundred words.
+
+    A text's length alone isn't told: without a gain all are 0.
+    """
+    out: list[float] = []
     for row in counts:
         over = row[::-1].cumsum()[::-1]  # windows with at least that gain
         out += [float((over[1:] > 0).sum()), float(np.minimum(over[1:], 3).sum()) / 3]
-        out += [float(np.log1p(over[t])) for t in THRESHOLDS]
+        for t in THRESHOLDS:
+            out += [float(np.log1p(over[t])), float(np.log1p(100 * over[t] / max(1, n_words)))]
     return out
 
 
@@ -171,6 +177,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_size: int = 24 << 10, ordin
         return model
     model.ordinary = dictionary([t for k, t in enumerate(ordinary) if k % 3], ordinary_size)
     model.toxic = [dictionary(toxic[h::2], toxic_size) for h in range(2)]
+    model.phrases = [dictionary(toxic[h::2], toxic_size, 32) for h in range(2)]
     gains, apart = Gains(model), ordinary[::3]
     x = [features(gains(words), len(words)) for words in map(words_of, toxic + apart)]
     model.weights = logistic(np.array(x), np.r_[np.ones(len(toxic)), np.zeros(len(apart))]).tolist()
@@ -201,7 +208,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     replaced, others pass through; repeated rows stay; an empty table: an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = ("toxicity", hash((*model.toxic, tuple(model.weights))))
+    key = ("toxicity", hash((*model.toxic, *model.phrases, tuple(model.weights))))
 
     @F.pandas_udf("score double, n_windows long")
     def of(texts: pd.Series) -> pd.DataFrame:
