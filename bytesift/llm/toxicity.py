@@ -25,10 +25,10 @@ from bytesift.storage import materialise, release
 WORD = re.compile(r"[^\W\d_]+")
 #: Longer words are cut into parts of so many characters.
 LONGEST_WORD = 40
-#: A window is a word, or so many words; of the latter one begins at every second word.
-PHRASE, STEP = 4, 2
+#: A window is a word, or so many words; how far apart the latter begin.
+PHRASE, STEP = 8, 8
 #: What both dictionaries hold and every window ends with: zstandard stores what has no match as it is.
-FRAME = "|=the frame that holds a window=|"
+FRAME = "|=window frame=|"
 CUT = 0.7
 #: Windows are counted by their gain in bytes; larger gains count as the largest.
 GAINS = 24
@@ -93,7 +93,7 @@ class Gains:
 
         held = zs.ZstdCompressionDict(content + FRAME.encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
         how = zs.ZstdCompressionParameters.from_level(
-            9, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=zs.STRATEGY_LAZY
+            9, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, window_log=19, hash_log=17, chain_log=17, search_log=5, min_match=4, strategy=zs.STRATEGY_BTLAZY2
         )
         held.precompute_compress(compression_params=how)
         return zs.ZstdCompressor(dict_data=held, compression_params=how)
@@ -124,13 +124,13 @@ class Gains:
             part = words[at : at + 50_000]
             distinct = set(part)
             new = list(distinct.difference(self.met))
-            if len(self.met) > 250_000:
+            if len(self.met) > 500_000:
                 self.met, self.gains = distinct.difference(new), {w: g for w, g in self.gains.items() if w in distinct}
             found = self.of_windows(new, self.toxic)
             self.gains.update((new[k], int(found[k])) for k in np.flatnonzero(found))
             self.met.update(new)
-            if with_gain := distinct.intersection(self.gains):
-                counts[0] += np.bincount([self.gains[w] for w in part if w in with_gain], minlength=GAINS + 1)
+            if found := [self.gains[w] for w in part if w in self.gains]:
+                counts[0] += np.bincount(found, minlength=GAINS + 1)
             after = words[at : at + 50_000 + PHRASE - 1]
             phrases = [" ".join(after[k : k + PHRASE]) for k in range(0, max(1, len(after) - PHRASE + STEP), STEP)]
             counts[1] += np.bincount(self.of_windows(phrases, self.phrases), minlength=GAINS + 1)
